@@ -21,8 +21,8 @@ _EDGES = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
 
 def decode_text(content: Column) -> Column:
     """UTF-8, or Latin-1 when the bytes are not valid UTF-8."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, F.lit("UTF-8"))).otherwise(
-        F.decode(content, F.lit("ISO-8859-1"))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(
+        F.decode(content, "ISO-8859-1")
     )
 
 

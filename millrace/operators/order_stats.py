@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import small_side
 
@@ -56,7 +57,7 @@ def exact_quantiles(
 def _by_narrowing(data, keys, sizes, probs, direct_rows):
     spark = data.sparkSession
     key_schema = [f for f in data.schema.fields if f.name in keys]
-    schema = data.schema.__class__(key_schema).add("_p", "int").add("_lo", "double").add("_hi", "double")
+    schema = T.StructType(list(key_schema)).add("_p", T.IntegerType()).add("_lo", T.DoubleType()).add("_hi", T.DoubleType())
     brackets = {(k, i): (-math.inf, math.inf) for k in sizes for i in range(len(probs))}
     grid = [i / _CELLS for i in range(_CELLS + 1)]
 
@@ -104,7 +105,7 @@ def _by_narrowing(data, keys, sizes, probs, direct_rows):
     ends = counted.withColumn("upto", F.sum("n").over(order))
     targets = spark.createDataFrame(
         [(*at[0], at[1], rank - state[at]["below"]) for at in state for rank in set(_wanted(sizes[at[0]], probs[at[1]])[:2])],
-        data.schema.__class__(key_schema).add("_p", "int").add("rank", "long"),
+        T.StructType(list(key_schema)).add("_p", T.IntegerType()).add("rank", T.LongType()),
     )
     hit = ends.alias("e").join(
         small_side(targets.alias("t"), 2 * len(brackets)),

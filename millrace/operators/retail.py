@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.values import is_integer, quoted
 from millrace.operators.roles import date_values, resolve_column
 
 _CUSTOMER = ("customerid", "customer_id", "client_id")
-_SECONDS_PER_DAY = 86_400
 
 
 @dataclass(frozen=True)
@@ -106,10 +106,9 @@ def customer_rfm(df: DataFrame, cols: LogColumns | None = None) -> DataFrame:
     is a plain count. The reference date is a scalar subquery over one column.
     """
     cols = cols or rfm_columns(df)
-    day = quoted(cols.date)
-    if df.schema[cols.date].dataType.typeName() == "string":
-        day, _ = date_values(df, cols.date)
-    when = F.unix_micros(day.cast("timestamp")) / 1e6
+    when = quoted(cols.date)
+    if not isinstance(df.schema[cols.date].dataType, (T.TimestampType, T.TimestampNTZType)):
+        when = date_values(df, cols.date)[0].cast("timestamp_ntz")
     quantity = F.coalesce(quoted(cols.quantity).try_cast("double"), F.lit(0.0))
     price = F.coalesce(quoted(cols.price).try_cast("double"), F.lit(0.0))
     invoice = quoted(cols.invoice).cast("string")
@@ -133,7 +132,8 @@ def customer_rfm(df: DataFrame, cols: LogColumns | None = None) -> DataFrame:
         F.coalesce(F.sum("spent"), F.lit(0.0)).alias("Monetary"),
         (F.sum("returns") / F.sum("lines")).alias("Return Ratio"),
     )
-    days = F.floor((latest + _SECONDS_PER_DAY - F.col("last")) / _SECONDS_PER_DAY)
+    # The difference of two timestamps is an interval; its day part is the number of whole days.
+    days = F.extract(F.lit("DAY"), latest + F.expr("INTERVAL 1 DAY") - F.col("last"))
     return per_customer.select(
         "CustomerID",
         F.coalesce(days.cast("double"), F.lit(0.0)).alias("Recency"),

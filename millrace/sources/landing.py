@@ -108,14 +108,14 @@ def content_rules() -> list[tuple[Column, int, str | Column]]:
     tail = F.hex(F.substring(content, -4, 4))
     rules.append(((ext == "parquet") & (tail != FORMAT_MARKS["parquet"]), 422, "corrupted Parquet file"))
     # ISO-8859-1 maps each byte to one character, so a NUL byte stays findable.
-    text = F.decode(content, F.lit("ISO-8859-1"))
+    text = F.decode(content, "ISO-8859-1")
     rules.append((ext.isin("csv", "tsv", "txt", "md") & F.contains(text, F.lit("\x00")), 415, "null byte in text"))
     return rules
 
 
 def header_columns(content: Column, ext: Column, prefix_bytes: int = MAX_LINE_BYTES) -> tuple[Column, Column]:
     """Fields of the first record and whether it is malformed; quoted parts and a BOM are set aside."""
-    text = F.decode(F.substring(content, 1, prefix_bytes), F.lit("ISO-8859-1"))
+    text = F.decode(F.substring(content, 1, prefix_bytes), "ISO-8859-1")
     bare = F.regexp_replace(F.regexp_replace(text, "^ï»¿", ""), '"[^"]*+"', "")
     record = F.substring_index(bare, "\n", 1)
     delimiter = F.when(ext == "tsv", F.lit("\t")).otherwise(F.lit(","))
