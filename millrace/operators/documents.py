@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 HTML_TABLE = r"(?i)<table[\s>]"
 DELIMITER_ROW = r"\|[^\n\r]+\|\r?\n(?U)\s*\|[\s:\-|=]+\|"
 GRID_BORDER = r"(?md)^\s*\+[-+=]+\+[-+=+]+\s*$"
-BOX_DRAWING = r"[┌┬┐├┼┤└┴┘│║═]"
+BOX_DRAWING = "┌┬┐├┼┤└┴┘│║═"
 HEADING = r"(?md)^#{1,6}(?U)\s+\S"
 # Line ends as Python splits them; white space as Python strips it.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_WIDE_GAP = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}"
 
 
 def decode_text(content: Column) -> Column:
@@ -27,7 +30,7 @@ def decode_text(content: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return ~text.rlike(f"[^{SPACES}]")
 
 
 def page_count(text: Column) -> Column:
@@ -44,29 +47,29 @@ def section_count(text: Column) -> Column:
 
 def marked_table(text: Column) -> Column:
     """HTML, Markdown delimiter row, ASCII grid or box-drawing characters."""
-    return text.rlike(HTML_TABLE) | text.rlike(DELIMITER_ROW) | text.rlike(GRID_BORDER) | text.rlike(BOX_DRAWING)
-
-
-def _consecutive(lines: Column, test) -> Column:
-    flags = F.transform(lines, test)
-    return F.exists(F.zip_with(flags, F.slice(flags, 2, F.greatest(F.size(flags), F.lit(1))), lambda a, b: a & b), lambda x: F.coalesce(x, F.lit(False)))
+    found = text.rlike(HTML_TABLE) | text.rlike(DELIMITER_ROW) | text.rlike(GRID_BORDER)
+    for mark in BOX_DRAWING:
+        found = found | F.contains(text, F.lit(mark))
+    return found
 
 
 def row_table(text: Column) -> Column:
-    """Two consecutive lines of pipe cells, of tab cells, or of three or more aligned columns."""
-    lines = F.transform(F.split(text, LINE_END), lambda x: F.regexp_replace(x, _EDGES, ""))
-
-    def pipes(line: Column) -> Column:
-        return line.startswith("|") & line.endswith("|") & (F.length(line) > 1)
+    """Two consecutive lines of pipe cells, of tab cells, or of three or more aligned columns.
 
-    def tabs(line: Column) -> Column:
-        return F.contains(line, F.lit("\t"))
+    Each line is read once and becomes one digit of three bits (pipes 1, tabs 2, columns 4); a table
+    is two neighbouring digits that share a bit.
+    """
 
-    def columns(line: Column) -> Column:
+    def digit(line: Column) -> Column:
+        line = F.btrim(line, F.lit(SPACES))
+        pipes = line.startswith("|") & line.endswith("|") & (F.length(line) > 1)
+        tabs = F.contains(line, F.lit("\t"))
         # The line is stripped, so no part between wide gaps is empty.
-        return F.regexp_count(line, F.lit(rf"(?U){_SPACE}{{2,}}")) >= 2
+        columns = F.regexp_count(line, F.lit(_WIDE_GAP)) >= 2
+        return (pipes.cast("int") + tabs.cast("int") * 2 + columns.cast("int") * 4).cast("string")
 
-    return _consecutive(lines, pipes) | _consecutive(lines, tabs) | _consecutive(lines, columns)
+    digits = F.array_join(F.transform(F.split(text, LINE_END), digit), "")
+    return digits.rlike("[1357]{2}|[2367]{2}|[4567]{2}")
 
 
 def has_table(text: Column) -> Column:
