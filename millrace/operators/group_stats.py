@@ -96,7 +96,7 @@ def pooled_by(key: str, levels: DataFrame) -> DataFrame:
 def anova(pooled: DataFrame) -> DataFrame:
     """One-way ANOVA: F, degrees of freedom and eta squared. NULL where undefined."""
     k, n = F.col("n_groups"), F.col("total")
-    between, within = F.col("ssb") / (k - 1), F.try_divide(F.col("ssw"), n - k)
+    between, within = F.try_divide(F.col("ssb"), k - 1), F.try_divide(F.col("ssw"), n - k)
     return pooled.select(
         "*",
         F.try_divide(between, within).alias("f_statistic"),

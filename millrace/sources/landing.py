@@ -123,12 +123,28 @@ def header_columns(content: Column, ext: Column, prefix_bytes: int = MAX_LINE_BY
     return fields, record.rlike('(^|[,\\t])"')
 
 
+def _file_key() -> Column:
+    """File address as all readers report it, one slash after the scheme."""
+    return F.regexp_replace(F.col("_metadata.file_path"), ":/+", ":/")
+
+
+def _empty_files(spark: SparkSession, files: DataFrame, read: DataFrame) -> DataFrame:
+    """Zero-length files: the reader lists them but never opens them, so they have no row.
+
+    Only addresses pass through the driver, where the file listing already lives.
+    """
+    listing = spark.createDataFrame([(p,) for p in files.inputFiles()], "address string")
+    listing = listing.select(F.regexp_replace("address", ":/+", ":/").alias("file"))
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    return listing.join(read.select("file"), "file", "left_anti").select("file", plain.alias("path"), F.lit(0).cast("bigint").alias("length"))
+
+
 def longest_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Longest line in bytes per CSV / TSV file, from a splittable text read."""
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.[cCtT][sS][vV]"
     ).text(folder)
-    return lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    return lines.groupBy(_file_key().alias("file")).agg(
         F.max(F.octet_length("value")).alias("longest_line")
     )
 
@@ -139,7 +155,7 @@ def parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.schema("_none int").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(folder)
     )
-    return files.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("parquet_rows"))
+    return files.groupBy(_file_key().alias("file")).agg(F.count(F.lit(1)).alias("parquet_rows"))
 
 
 def audit(
@@ -150,7 +166,8 @@ def audit(
     ``manifest`` may give the declared MIME type per file name: (name, mime).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    listed = files.select("path", "length").withColumn("name", file_name(F.col("path"))).withColumn(
+    read = files.select(_file_key().alias("file"), "path", "length")
+    listed = read.unionByName(_empty_files(spark, files, read)).withColumn("name", file_name(F.col("path"))).withColumn(
         "extension", extension(F.col("name"))
     )
     if manifest is not None:
@@ -160,20 +177,20 @@ def audit(
     cheap = listed.withColumn("early", _first_failure([*name_rules(limits), mime_rule()]))
     # Oversized files are filtered by the listing itself, before any content is read.
     seen = files.where((F.col("length") > 0) & (F.col("length") <= limits.file_bytes)).select(
-        "path", "content", extension(file_name(F.col("path"))).alias("extension")
+        _file_key().alias("file"), "content", extension(file_name(F.col("path"))).alias("extension")
     )
     fields, malformed = header_columns(F.col("content"), F.col("extension"))
     delimited = F.col("extension").isin("csv", "tsv")
     checked = seen.select(
-        "path",
+        "file",
         _first_failure(content_rules()).alias("late"),
         F.when(delimited, malformed).alias("malformed"),
         F.when(delimited, fields).alias("fields"),
     )
     joined = (
-        cheap.join(checked, "path", "left")
-        .join(longest_lines(spark, folder), "path", "left")
-        .join(parquet_rows(spark, folder), "path", "left")
+        cheap.join(checked, "file", "left")
+        .join(longest_lines(spark, folder), "file", "left")
+        .join(parquet_rows(spark, folder), "file", "left")
     )
     last = _first_failure([
         (F.col("longest_line") > limits.line_bytes, 413, "line too long"),
