@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -97,15 +99,17 @@ def choose_k(
         return k, "fallback_default", {}, kmeans(fit, k, seed)
     sample = hash_sample(fit.select("features", *([id_col] if id_col else [])), min(SILHOUETTE_ROWS, rows), id_col, seed)
     held = sample.sparkSession.createDataFrame(sample.toPandas(), sample.schema)  # at most 600 rows
-    scores: dict[int, float] = {}
-    models: dict[int, KMeansModel] = {}
-    for k in CANDIDATES:
-        if k >= rows:
-            continue
-        models[k] = kmeans(fit, k, seed)
-        score = euclidean_silhouette(models[k].transform(held))
-        if score is not None:
-            scores[k] = round(score, 4)
+    tried = [k for k in CANDIDATES if k < rows]
+
+    def attempt(k: int) -> tuple[KMeansModel, float | None]:
+        model = kmeans(fit, k, seed)
+        return model, euclidean_silhouette(model.transform(held))
+
+    # The fits do not depend on each other; their jobs share the cluster, as in MLlib's own tuning.
+    with ThreadPool(len(tried)) as pool:
+        outcomes = dict(zip(tried, pool.map(inheritable_thread_target(fit.sparkSession)(attempt), tried)))
+    models = {k: model for k, (model, _) in outcomes.items()}
+    scores = {k: round(score, 4) for k, (_, score) in outcomes.items() if score is not None}
     best = max(scores, key=lambda k: (scores[k], -k), default=None)
     if best is not None and scores[best] >= SILHOUETTE_MIN:
         return best, "data_driven_silhouette", scores, models[best]

@@ -37,14 +37,16 @@ def exact_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     direct_rows: int = DIRECT_ROWS,
+    sizes: dict[tuple, int] | None = None,
 ) -> dict[tuple, list[float]]:
     """Linear-interpolated quantiles per group, on the driver: one short list per group.
 
     Meant for few groups (columns, levels); NULL values are ignored and empty groups are absent.
+    ``sizes`` gives the non-null rows per group when the caller knows them, which saves a pass.
     """
     keys = list(keys)
     data = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL")
-    sizes = {tuple(r[k] for k in keys): r["n"] for r in data.groupBy(*keys).agg(F.count("_v").alias("n")).collect()}
+    sizes = sizes or {tuple(r[k] for k in keys): r["n"] for r in data.groupBy(*keys).agg(F.count("_v").alias("n")).collect()}
     sizes = {k: n for k, n in sizes.items() if n}
     if not sizes:
         return {}

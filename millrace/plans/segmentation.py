@@ -32,9 +32,6 @@ class SegmentFeatures:
     def columns(self) -> list[str]:
         return [f"feature:{n}" for n in self.names]
 
-    def feature_frame(self) -> DataFrame:
-        return self.frame.select(*[quoted(c).alias(n) for c, n in zip(self.columns, self.names)])
-
 
 def segment_features(df: DataFrame, id_col: str | None = None) -> SegmentFeatures:
     """Customer RFM for a transaction log with customers, else the numeric columns that vary.
@@ -43,7 +40,8 @@ def segment_features(df: DataFrame, id_col: str | None = None) -> SegmentFeature
     """
     cols = retail.rfm_columns(df)
     if cols:
-        base = retail.customer_rfm(df, cols)
+        # One row per customer, read by every later pass; the log itself is scanned once.
+        base = retail.customer_rfm(df, cols).persist()
         names = ["Recency", "Frequency", "log1p(Monetary)", "Return Ratio"]
         facts = matrix.column_facts(base, ["Recency", "Frequency", "Return Ratio"])
         logged = [c for c, f in facts.items() if f.skew is not None and f.skew > matrix.SKEW_LIMIT]
@@ -115,27 +113,28 @@ def run_segmentation(
 ) -> SegmentReport:
     """Every row is assigned, projected and scored. All rows are fitted unless ``fit_cap`` asks for a sample."""
     feats = segment_features(df, id_col)
-    correlation, truncated = matrix.correlation_frame(feats.feature_frame(), feats.names)
-    renamed = feats.frame
-    rows = renamed.count()
-    fit_rows = renamed
-    if fit_cap and rows > fit_cap:
-        fit_rows = clusters.hash_sample(renamed, fit_cap, feats.id_col, seed)
+    keep = list(dict.fromkeys([*feats.columns, *([feats.id_col] if feats.id_col else [])]))
+    # Only the features (and the id) are kept for the passes that follow, not the context columns.
+    narrow = feats.frame.select(*[quoted(c) for c in keep]).persist()
+    correlation, truncated = matrix.correlation_frame(
+        narrow.select(*[quoted(c).alias(n) for c, n in zip(feats.columns, feats.names)]), feats.names
+    )
+    rows = narrow.count()
+    sampled = bool(fit_cap and rows > fit_cap)
+    fit_rows = clusters.hash_sample(narrow, fit_cap, feats.id_col, seed) if sampled else narrow
     facts = matrix.column_facts(fit_rows, feats.columns)
-    # Features are standardised once and kept in memory and on disk for the fits that follow.
-    scaled = clusters.assemble(matrix.standardise(renamed, facts), feats.columns).persist()
-    fit = scaled
-    n_fit = rows
-    if fit_cap and rows > fit_cap:
-        fit = clusters.assemble(matrix.standardise(fit_rows, facts), feats.columns).persist()
-        n_fit = fit_cap
-    k, method, scores, model = clusters.choose_k(fit, n_fit, feats.id_col, seed)
+    fit = clusters.assemble(matrix.standardise(fit_rows, facts), feats.columns).persist()
+    k, method, scores, model = clusters.choose_k(fit, fit_cap if sampled else rows, feats.id_col, seed)
     grown = forest.fit_forest(fit, feats.columns, trees, seed, feats.id_col)
-    flat, explained = clusters.project_2d(fit, scaled)
+    fit_scores = grown.score(fit).select("anomaly_score").persist()
+    _, cut = forest.flag_outliers(fit_scores, contamination)
+    wide = clusters.assemble(matrix.standardise(feats.frame, facts), feats.columns)
+    flat, explained = clusters.project_2d(fit, wide)
     assigned = model.transform(flat).withColumn("cluster", clusters.centroid_order(model))
-    scored = grown.score(assigned).drop("features", *feats.columns).persist()
-    fitted = None if fit is scaled else grown.score(fit)
-    scored, cut = forest.flag_outliers(scored, contamination, fitted=fitted)
+    # One narrow pass from the source: assigned, projected and scored when the caller reads it.
+    scored = grown.score(assigned).drop("features", *feats.columns).withColumn("is_outlier", F.col("anomaly_score") > cut)
+    for frame in (fit_scores, narrow, fit):
+        frame.unpersist()
     return SegmentReport(
         k, method, scores, feats.names, feats.transformed, correlation, truncated, scored, cut, explained, model, grown, feats.id_col
     )
