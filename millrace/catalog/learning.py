@@ -80,9 +80,9 @@ def forecast_revenue(spark, sf_dir):
 
 @query()
 def forecast_gate(spark, sf_dir):
-    """Store-level gate of a batch of forecasts."""
+    """Store-level gate of a batch of forecasts, summed up per model."""
     report = fc.run_forecast(_store_series(spark, sf_dir), 7, maxIter=10)
-    return shown(fc.store_gate(report))
+    return shown(fc.gate_summary(fc.store_gate(report)))
 
 
 @query()

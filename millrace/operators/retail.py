@@ -49,6 +49,11 @@ def sales_lines(df: DataFrame, cols: LogColumns) -> DataFrame:
     return df.where(~_is_cancellation(cols) & _has_price(cols))
 
 
+def trading_days(df: DataFrame, flag: str = "Open") -> DataFrame:
+    """Rows of days on which the store was open."""
+    return df.where(quoted(flag) == 1)
+
+
 def daily_net_revenue(df: DataFrame, cols: LogColumns | None = None, order_col: str | None = None) -> DataFrame:
     """(date, net_revenue); returns stay in as negative amounts."""
     cols = cols or transaction_columns(df)

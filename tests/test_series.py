@@ -146,7 +146,8 @@ def seasonal(spark, n=400, keys=("a", "b")):
         for i in range(n):
             day = pd.Timestamp("2022-01-03") + pd.Timedelta(days=i)
             rows.append((k, day.date(), float(100 * (j + 1) + 30 * np.sin(2 * np.pi * i / 7) + rng.normal(0, 2)), float(i % 7)))
-    return spark.createDataFrame(rows, "shop string, day date, sales double, promo double").repartition(6)
+    # The input is named like a calendar feature on purpose.
+    return spark.createDataFrame(rows, "shop string, day date, sales double, month double").repartition(6)
 
 
 def test_ridge_forecast_of_a_panel(spark):
@@ -163,7 +164,7 @@ def test_ridge_forecast_of_a_panel(spark):
 
 def test_recursion_matches_step_by_step_numpy(spark):
     """The array fold of the linear model equals a plain loop over the same features."""
-    prep = fc.prepare_series(seasonal(spark, 200, ("a",)).drop("promo"), "sales", "day", ["shop"])
+    prep = fc.prepare_series(seasonal(spark, 200, ("a",)).drop("month"), "sales", "day", ["shop"])
     report = fc.run_forecast(prep, 5, boosted=False)
     got = [r["forecast"] for r in report.forecast.orderBy("step").collect()]
     frame, names, _ = fc.model_frame(prep)
@@ -193,6 +194,7 @@ def test_recursion_matches_step_by_step_numpy(spark):
 def test_boosted_contest_and_recursion(spark):
     prep = fc.prepare_series(seasonal(spark, 150), "sales", "day", ["shop"])
     report = fc.run_forecast(prep, 10, maxIter=3)
+    assert fc.gate_summary(fc.store_gate(report)).where("model = 'ridge'").first()["series"] == 2
     assert {r["model"] for r in report.metrics.select("model").distinct().collect()} == {"ridge", "boosted", "seasonal_naive"}
     assert report.forecast.count() == 20
     # The stepwise form must agree with the array fold when the model is the same linear one.
