@@ -157,15 +157,23 @@ def rank_sums(long: DataFrame, levels: DataFrame, rows: int) -> DataFrame:
         .groupBy("grouping_column", "level", "y")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    spots = value_positions(counts, ["grouping_column"], "y", "copies", rows)
+    # A value carries the counts of its levels (twelve at most), so ranks need not be joined back.
+    held = {"levels": F.collect_list(F.struct("level", "copies"))}
+    spots = value_positions(counts, ["grouping_column"], "y", "copies", rows, held)
     mid = F.col("below") + (F.col("tied") + 1) / F.lit(2.0)
-    ranked = counts.join(spots, ["grouping_column", "y"])
-    sums = ranked.groupBy("grouping_column", "level").agg(
-        F.sum("copies").alias("n"), F.sum(F.col("copies") * mid).alias("rank_sum")
-    )
     tied = F.col("tied").cast("double")
-    ties = spots.groupBy("grouping_column").agg(F.sum(tied * tied * tied - tied).alias("tie_term"))
-    return sums.join(F.broadcast(ties), "grouping_column")
+    per_level = spots.select(
+        "grouping_column", mid.alias("mid"), (tied * tied * tied - tied).alias("tie"), F.posexplode("levels").alias("place", "held")
+    )
+    copies = F.col("held.copies")
+    sums = per_level.groupBy("grouping_column", F.col("held.level").alias("level")).agg(
+        F.sum(copies).alias("n"),
+        F.sum(copies * F.col("mid")).alias("rank_sum"),
+        # The tie of a value counts once, with the first level that holds it.
+        F.sum(F.when(F.col("place") == 0, F.col("tie")).otherwise(0.0)).alias("_tie"),
+    )
+    whole = Window.partitionBy("grouping_column")
+    return sums.withColumn("tie_term", F.sum("_tie").over(whole)).drop("_tie")
 
 
 def holm(pvalues: DataFrame, p: str = "p_value") -> DataFrame:

@@ -152,17 +152,20 @@ def value_buckets(df: DataFrame, value: str, rows: int, bucket: str = "_bucket")
     return Bucketizer(splits=splits, inputCol=value, outputCol=bucket).transform(df)
 
 
-def value_positions(counts: DataFrame, keys: Sequence[str], value: str, count: str, rows: int) -> DataFrame:
+def value_positions(
+    counts: DataFrame, keys: Sequence[str], value: str, count: str, rows: int, carry: dict[str, Column] | None = None
+) -> DataFrame:
     """Per distinct value of a group: rows holding it (``tied``) and rows below it (``below``).
 
     ``counts`` has one row per group and distinct value (or several that are summed here);
-    ``rows`` is the number of raw rows behind it and only sets the bucket number.
+    ``rows`` is the number of raw rows behind it and only sets the bucket number. ``carry`` adds
+    aggregates of the summed rows to the result, which saves joining them back.
     """
-    keys = list(keys)
+    keys, carry = list(keys), carry or {}
     per_value = (
         value_buckets(counts, value, rows)
         .groupBy(*keys, "_bucket", value)
-        .agg(F.sum(count).alias("tied"))
+        .agg(F.sum(count).alias("tied"), *[c.alias(n) for n, c in carry.items()])
     )
     totals = per_value.groupBy(*keys, "_bucket").agg(F.sum("tied").alias("_held"))
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,5 +174,5 @@ def value_positions(counts: DataFrame, keys: Sequence[str], value: str, count: s
     return (
         per_value.join(starts, [*keys, "_bucket"])
         .withColumn("below", F.col("_start") + F.coalesce(F.sum("tied").over(inside), F.lit(0)))
-        .select(*keys, value, "tied", "below")
+        .select(*keys, value, "tied", "below", *carry)
     )
