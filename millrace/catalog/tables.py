@@ -241,8 +241,7 @@ def skewness_by_column(spark, sf_dir):
     return shown(matrix.skewness_table(table(spark, sf_dir, "lineitem"), _NUMBERS))
 
 
-@query("""WITH u AS (SELECT user_id, count(*)::DOUBLE AS visits, sum(value) AS spend FROM events GROUP BY user_id),
-o AS (SELECT l_orderkey AS k, sum(l_quantity) * 1.0 AS quantity, exp(sum(l_discount) * 20) AS growth FROM lineitem GROUP BY l_orderkey),
+@query("""WITH o AS (SELECT l_orderkey AS k, sum(l_quantity) * 1.0 AS quantity, exp(sum(l_discount) * 20) AS growth FROM lineitem GROUP BY l_orderkey),
 s AS (SELECT skewness(quantity) AS a, min(quantity) AS la, skewness(growth) AS b, min(growth) AS lb FROM o)
 SELECT k AS id, round(CASE WHEN a > 1.5 AND la > -1 THEN ln(1 + greatest(quantity, 0)) ELSE quantity END, 4) AS quantity,
   round(CASE WHEN b > 1.5 AND lb > -1 THEN ln(1 + greatest(growth, 0)) ELSE growth END, 4) AS growth FROM o, s""")

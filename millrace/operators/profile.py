@@ -40,7 +40,8 @@ def _text_facts(df: DataFrame, names: list[str]) -> DataFrame:
         F.try_to_timestamp("v", F.lit("d-M-yyyy")), F.try_to_timestamp("v", F.lit("d.M.yyyy")),
     )
     # A bare short number casts to a year in Spark; it is not a date string.
-    dated = parsed.isNotNull() & F.col("v").rlike(r"\d[-/.:]\d")
+    # The cheap pattern comes first, so that only likely values are parsed.
+    dated = F.col("v").rlike(r"\d[-/.:]\d") & parsed.isNotNull()
     return (
         df.select(F.inline(pairs)).where("v IS NOT NULL")
         .groupBy("column_name")
