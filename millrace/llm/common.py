@@ -100,7 +100,7 @@ class SubstringHash:
 
     def windows(self, length: int) -> np.ndarray:
         """Hash of the substring of ``length`` bytes at every start."""
-        n = len(self.sums) - length
+        n = len(self.sums) - length  # one more than the last start
         if n <= 0:
             return np.zeros(0, np.uint64)
         return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, language, simhash, surrogates
+from millrace.llm import bpe, chunks, decontaminate, language, simhash, suffixes, surrogates, toxicity
 
 # The key under which surrogates are drawn; a user sets a secret one.
 SURROGATE_KEY = "millrace"
@@ -65,3 +65,26 @@ def op10_decontamination(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contaminated(documents_of(spark, sf_dir), benchmark, raw_text="text", file_id="doc_id", item_id="item_id", item_text="text")
     return found.select(F.col("id").alias("doc_id"), "item_id", "distance", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def op1_substring_dedup(spark, sf_dir):
+    found = chunks.drop_repeated_substrings(documents_of(spark, sf_dir), raw_text="text", file_id="doc_id", texts=False)
+    return found.drop("digest").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_suffix_array_dedup(spark, sf_dir):
+    found = suffixes.drop_repeated_spans(documents_of(spark, sf_dir), raw_text="text", file_id="doc_id", texts=False)
+    return found.drop("digest").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    docs = documents_of(spark, sf_dir)
+    # Learnt from rows outside the fold that is held out.
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out)
+    model = toxicity.learn_toxicity(docs, labels, raw_text="text", file_id="doc_id", label="toxic")
+    scored = toxicity.score_toxicity(docs, model, raw_text="text", file_id="doc_id").withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
