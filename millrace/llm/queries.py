@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chunks, decontaminate, language, simhash, suffixes, surrogates, toxicity
+from millrace.llm import bpe, chunks, decontaminate, language, pages, simhash, suffixes, surrogates, toxicity
 
 # The key under which surrogates are drawn; a user sets a secret one.
 SURROGATE_KEY = "millrace"
@@ -88,3 +88,9 @@ def op5_toxicity(spark, sf_dir):
     model = toxicity.learn_toxicity(docs, labels, raw_text="text", file_id="doc_id", label="toxic")
     scored = toxicity.score_toxicity(docs, model, raw_text="text", file_id="doc_id").withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_html_extraction(spark, sf_dir):
+    found = pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), html="html", url="url", page_id="page_id")
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
