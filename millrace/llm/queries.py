@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chunks, decontaminate, language, pages, simhash, suffixes, surrogates, toxicity
+from millrace.llm import bpe, chunks, decontaminate, language, pages, quality, simhash, suffixes, surrogates, toxicity
 
 # The key under which surrogates are drawn; a user sets a secret one.
 SURROGATE_KEY = "millrace"
@@ -76,7 +76,7 @@ def op1_substring_dedup(spark, sf_dir):
 @query
 def op3_suffix_array_dedup(spark, sf_dir):
     found = suffixes.drop_repeated_spans(documents_of(spark, sf_dir), raw_text="text", file_id="doc_id", texts=False)
-    return found.drop("digest").withColumnRenamed("id", "doc_id")
+    return found.withColumnRenamed("id", "doc_id")
 
 
 @query
@@ -94,3 +94,10 @@ def op5_toxicity(spark, sf_dir):
 def op7_html_extraction(spark, sf_dir):
     found = pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), html="html", url="url", page_id="page_id")
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op2_quality_rules(spark, sf_dir):
+    judged = quality.judge_quality(documents_of(spark, sf_dir), raw_text="text", file_id="doc_id")
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select(F.col("id").alias("doc_id"), *base, F.round("posterior", 6).alias("posterior"), "kept")
