@@ -66,7 +66,7 @@ def _features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         bucket = np.concatenate([g[span][v[span]] for g, v in grams])
         share = np.concatenate([1.0 / per_word[word[span][v[span]]] for _, v in grams]) / (b - a + _NEUTRAL_WORDS)
         kinds, at = np.unique(bucket, return_inverse=True)
-        out.append((kinds.astype(np.int64), np.bincount(at, weights=share).astype(np.float32)))
+        out.append((kinds.astype(np.int32), np.bincount(at, weights=share).astype(np.float32)))
     return out
 
 
@@ -94,7 +94,7 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(logit + self.bias, -30, 30)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, width: int = 4, epochs: int = 8, rate: float = 0.5, batch: int = 64, least_texts: int = 8, decay: float = 5e-7, clean_weight: float = 2.0, seed: int = 5) -> ToxicityModel:
+def train(texts: list[str | None], labels: np.ndarray, width: int = 4, epochs: int = 12, rate: float = 0.5, batch: int = 64, least_texts: int = 8, decay: float = 5e-7, clean_weight: float = 1.5, least_steps: int = 800, seed: int = 5) -> ToxicityModel:
     """Fit embeddings and softmax together by gradient steps on batches in random order.
 
     Steps adapt to each number's past slopes. N-grams of fewer than ``least_texts`` texts keep score zero: they would only tell the
@@ -106,25 +106,29 @@ def train(texts: list[str | None], labels: np.ndarray, width: int = 4, epochs: i
     if len(labels) == 0 or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return ToxicityModel(np.zeros(BUCKETS), np.log(share / (1 - share)))
-    features = [f for part in range(0, len(texts), 512) for f in _features(texts[part : part + 512])]
+    features = [f for part in range(0, len(texts), 64) for f in _features(texts[part : part + 64])]
     rng = np.random.default_rng(seed)
     cost = len(labels) / np.bincount(labels, minlength=2) * np.array([clean_weight, 1.0]) / (1 + clean_weight)
     seen = np.zeros(BUCKETS, np.int64)
     for kinds, _ in features:
         seen[kinds] += 1
-    features = [(kinds[seen[kinds] >= least_texts], share[seen[kinds] >= least_texts]) for kinds, share in features]
+    for i, (kinds, share) in enumerate(features):
+        often = seen[kinds] >= least_texts
+        features[i] = (kinds[often], share[often])
     order, batches = rng.permutation(len(labels)), []
     for part in range(0, len(order), batch):
         rows = order[part : part + batch]
         kinds, at = np.unique(np.concatenate([features[r][0] for r in rows]), return_inverse=True)
         of = np.repeat(np.arange(len(rows)), [len(features[r][0]) for r in rows])
         batches.append((labels[rows], kinds, at.astype(np.int32), of.astype(np.int16), np.concatenate([features[r][1] for r in rows])))
-    del features
+        for r in rows:
+            features[r] = None  # the batch holds it now
     table = rng.normal(0, 0.1, (BUCKETS, width))
     table[seen < least_texts] = 0
     table_squares = np.full((BUCKETS, width), 1e-10)
     weights, bias = rng.normal(0, 0.5, (width, 2)), np.zeros(2)
     weight_squares, bias_squares = np.full((width, 2), 1e-8), np.full(2, 1e-8)
+    epochs = max(epochs, -(-least_steps // len(batches)))  # few texts are gone through more often
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(len(batches)):
@@ -151,7 +155,7 @@ def train(texts: list[str | None], labels: np.ndarray, width: int = 4, epochs: i
 
 
 def learn_toxicity(
-    documents: DataFrame, labels: DataFrame, raw_text: str = "raw_text", file_id: str = "fileId", label: str = "toxic", most_per_class: int = 8000, **options
+    documents: DataFrame, labels: DataFrame, raw_text: str = "raw_text", file_id: str = "fileId", label: str = "toxic", most_per_class: int = 6000, **options
 ) -> ToxicityModel:
     """Train on the texts of labelled records, at most ``most_per_class`` of each label, drawn by a hash of the id.
 
