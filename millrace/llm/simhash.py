@@ -64,6 +64,8 @@ def fingerprints(documents: DataFrame, raw_text: str = "raw_text", file_id: str
 
 def _taken(mark: Column, bits: list[int]) -> Column:
     """The given bits of a fingerprint, gathered in order from runs of neighbouring bits."""
+    if len(bits) == 64:
+        return mark
     value, at, i = F.lit(0).cast("bigint"), 0, 0
     while i < len(bits):
         j = i
