@@ -50,7 +50,7 @@ SELECT grouping_column, level, n FROM r WHERE pos <= 12""")
 def largest_groups(spark, sf_dir):
     """The twelve largest groups with five rows or more, of two grouping columns with many levels."""
     long = gs.long_groups(table(spark, sf_dir, "part"), "p_retailprice", ["p_brand", "p_size"])
-    return shown(gs.usable_levels(gs.level_moments(long)).select("grouping_column", "level", "n"))
+    return shown(gs.usable_levels(gs.level_moments(long), most_groups=12).select("grouping_column", "level", "n"))
 
 
 @query("""WITH g AS (SELECT l_linestatus AS s, count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1),

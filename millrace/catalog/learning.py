@@ -64,37 +64,37 @@ def forecast_panel(spark, sf_dir):
 
 @query()
 def forecast_contest(spark, sf_dir):
-    """Holdout metrics of ridge and the seasonal naive forecast per store, with the winner's skill."""
-    report = fc.run_forecast(_store_series(spark, sf_dir), 14, boosted=False)
+    """Holdout metrics of ridge, boosted trees and the seasonal naive forecast per store, with the winner's skill."""
+    report = fc.run_forecast(_store_series(spark, sf_dir), 14)
     return shown(report.metrics.join(report.selection.select("store_id", "selected", "skill"), "store_id"))
 
 
 @query()
 def forecast_revenue(spark, sf_dir):
-    """Forecast of the whole log's daily net revenue, with its recent history for the band chart."""
+    """Forecast of the whole log's daily net revenue, with its history for the band chart."""
     prep = fc.prepare_series(transaction_log(spark, sf_dir))
-    report = fc.run_forecast(prep, 28, boosted=False)
-    rows = frames.forecast_band_rows(frames.recent(report.history, prep.keys), report.forecast, "y", prep.keys)
+    report = fc.run_forecast(prep, 28)
+    rows = frames.forecast_band_rows(report.history, report.forecast, "y", prep.keys)
     return shown(rows)
 
 
 @query()
 def forecast_gate(spark, sf_dir):
     """Store-level gate of a batch of forecasts, summed up per model."""
-    report = fc.run_forecast(_store_series(spark, sf_dir), 7, maxIter=10)
+    report = fc.run_forecast(_store_series(spark, sf_dir), 7)
     return shown(fc.gate_summary(fc.store_gate(report)))
 
 
 @query()
 def pooled_training(spark, sf_dir):
     """Pooled ridge and boosted trees on the store panel; validation metrics of both."""
-    trained = pt.train_panel(store_days(spark, sf_dir), boosted={"maxIter": 20})
+    trained = pt.train_panel(store_days(spark, sf_dir))
     return shown(trained.metrics)
 
 
 @query()
 def pooled_gates(spark, sf_dir):
-    trained = pt.train_panel(store_days(spark, sf_dir), boosted={"maxIter": 10})
+    trained = pt.train_panel(store_days(spark, sf_dir))
     return shown(pt.gates(trained.metrics))
 
 
@@ -116,7 +116,7 @@ def segment_customers(spark, sf_dir):
 def segment_outliers(spark, sf_dir):
     """The 100 strangest line items, with their cluster."""
     report = sg.run_segmentation(table(spark, sf_dir, "lineitem"))
-    return shown(report.outlier_records())
+    return shown(report.outlier_records(keys=("l_orderkey", "l_linenumber")))
 
 
 @query()
@@ -138,8 +138,8 @@ def embedding_projection(spark, sf_dir):
     from millrace.operators import clusters, matrix
 
     rows = table(spark, sf_dir, "embeddings")
-    names = [f"e{i}" for i in range(64)]
-    wide = rows.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    names = [f"e{i}" for i in range(rows.select(F.max(F.size("embedding"))).first()[0])]
+    wide = rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
     ready = clusters.assemble(matrix.standardise(wide, matrix.column_facts(wide, names)), names)
     flat, _ = clusters.project_2d(ready, ready)
     return shown(flat.select("vec_id", "label", "pca_x", "pca_y"))
@@ -157,7 +157,7 @@ def _contextual(spark, sf_dir):
 @query()
 def anomaly_detector(spark, sf_dir):
     """Contextual residuals and isolation forest on the store panel: the flagged rows."""
-    found = anomaly.detect(_contextual(spark, sf_dir), id_col="row_index", trees=50, max_iter=10)
+    found = anomaly.detect(_contextual(spark, sf_dir), id_col="row_index")
     return shown(found.scored.where("is_outlier").select("row_index", "store_id", "date", "units_sold", "anomaly_score"))
 
 
@@ -165,7 +165,7 @@ def anomaly_detector(spark, sf_dir):
 def anomaly_evaluation(spark, sf_dir):
     """Detector judged on labels kept apart: days far from the store's mean count as true anomalies."""
     rows = _contextual(spark, sf_dir)
-    found = anomaly.detect(rows, id_col="row_index", trees=50, max_iter=10)
+    found = anomaly.detect(rows, id_col="row_index")
     stats = rows.groupBy("store_id").agg(F.avg("units_sold").alias("m"), F.stddev_samp("units_sold").alias("s"))
     far = F.abs(F.col("units_sold") - F.col("m")) > 2.5 * F.col("s")
     labels = rows.join(stats, "store_id").select("row_index", F.coalesce(far, F.lit(False)).alias("is_anomaly"))

@@ -90,5 +90,8 @@ def choose_look_back(code: str, periods: int) -> LookBack:
 
 
 def clamp_horizon(code: str, horizon: int | None) -> int:
+    """The horizon asked for, or the cadence's own; raises for one that the cadence does not allow."""
     cadence = CADENCES[code]
-    return min(max(horizon or cadence.default_horizon, 1), cadence.max_horizon)
+    if horizon is not None and horizon > cadence.max_horizon:
+        raise ValueError(f"{horizon} periods ahead asked for, at most {cadence.max_horizon} {cadence.title} periods are allowed")
+    return max(horizon or cadence.default_horizon, 1)

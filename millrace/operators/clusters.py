@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 CANDIDATES = (2, 3, 4, 5, 6)
 FALLBACK_K = 4
 SILHOUETTE_MIN = 0.40
-SILHOUETTE_ROWS = 600
 
 
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
@@ -40,7 +39,10 @@ def centroid_order(model: KMeansModel) -> Column:
 
 
 def draw_order(df: DataFrame, id_col: str | None, seed: int) -> Column:
-    return F.xxhash64(F.col("`" + id_col + "`"), F.lit(seed)) if id_col else F.rand(seed)
+    """A draw that depends on the row alone: on its id, or without one on all its plain columns."""
+    names = [id_col] if id_col else [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant", "udt")]
+    plain = ["`" + n.replace("`", "``") + "`" for n in names]
+    return F.xxhash64(*[F.col(n) for n in plain], F.lit(seed))
 
 
 def hash_sample(df: DataFrame, rows: int, id_col: str | None = None, seed: int = 42) -> DataFrame:
@@ -91,19 +93,27 @@ def squared_silhouette(df: DataFrame) -> float:
 
 
 def choose_k(
-    fit: DataFrame, rows: int, id_col: str | None = None, seed: int = 42
+    fit: DataFrame, rows: int, id_col: str | None = None, seed: int = 42, sample_rows: int | None = None
 ) -> tuple[int, str, dict[int, float], KMeansModel]:
-    """Best silhouette over K = 2..6 when it reaches 0.40, else 4; under 20 rows K is clamped."""
+    """Best silhouette over K = 2..6 when it reaches 0.40, else 4; under 20 rows K is clamped.
+
+    The silhouette is the squared Euclidean one of all rows; ``sample_rows`` asks for the Euclidean one of a sample instead.
+    """
     if rows < 20:
         k = max(2, min(4, max(1, rows - 1)))
         return k, "fallback_default", {}, kmeans(fit, k, seed)
-    sample = hash_sample(fit.select("features", *([id_col] if id_col else [])), min(SILHOUETTE_ROWS, rows), id_col, seed)
-    held = sample.sparkSession.createDataFrame(sample.toPandas(), sample.schema)  # at most 600 rows
+    held = None
+    if sample_rows:
+        sample = hash_sample(fit.select("features", *([id_col] if id_col else [])), min(sample_rows, rows), id_col, seed)
+        held = sample.sparkSession.createDataFrame(sample.toPandas(), sample.schema)  # at most sample_rows rows
     tried = [k for k in CANDIDATES if k < rows]
 
     def attempt(k: int) -> tuple[KMeansModel, float | None]:
         model = kmeans(fit, k, seed)
-        return model, euclidean_silhouette(model.transform(held))
+        if held is not None:
+            return model, euclidean_silhouette(model.transform(held))
+        # Fewer clusters than asked for have no silhouette.
+        return model, squared_silhouette(model.transform(fit)) if len({tuple(c) for c in model.clusterCenters()}) > 1 else None
 
     # The fits do not depend on each other; their jobs share the cluster, as in MLlib's own tuning.
     with ThreadPool(len(tried)) as pool:

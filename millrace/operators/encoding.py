@@ -42,8 +42,11 @@ def encoding_table(
     Rows are combined per category first; the overall mean comes from those few rows.
     """
     per_category = df.groupBy(*keys, category).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    series = Window.partitionBy(*keys)
-    mean = F.sum("_s").over(series) / F.sum("_n").over(series)
+    if keys:
+        series = Window.partitionBy(*keys)
+        mean = F.sum("_s").over(series) / F.sum("_n").over(series)
+    else:  # one partial aggregate of the rows; a window would bring all categories into one task
+        mean = df.agg((F.sum(target) / F.count(target)).alias("mean")).scalar()
     return per_category.select(
         *keys, category, ((F.col("_s") + mean * smoothing) / (F.col("_n") + smoothing)).alias("encoding"),
         mean.alias("default"),
@@ -58,6 +61,6 @@ def apply_encoding(
         defaults = table.groupBy(*keys).agg(F.first("default").alias("_default"))
         joined = df.join(table.drop("default"), [*keys, category], "left").join(defaults, list(keys), "left")
     else:
-        default = table.agg(F.first("default").alias("d")).scalar()
+        default = table.agg(F.max("default").alias("d")).scalar()
         joined = df.join(table.drop("default"), [category], "left").withColumn("_default", default)
     return joined.withColumn(output, F.coalesce("encoding", "_default")).drop("encoding", "_default")

@@ -17,16 +17,20 @@ MAX_POINTS = 10_000
 SHOWN_PERIODS = 365
 
 
-def record_id(df: DataFrame, fallback: str | None = None) -> Column:
+def record_id(df: DataFrame, fallback: str | None = None, keys: Sequence[str] = ()) -> Column:
+    """Id of a record as text: the caller's keys joined by a dash, else a column named like an id, else a digest of the row."""
+    if keys:
+        return F.concat_ws("-", *[quoted(k).cast("string") for k in keys])
     names = [n for n in RECORD_ID_NAMES if n in df.columns] + ([fallback] if fallback else [])
-    return F.coalesce(*[quoted(n).cast("string") for n in names]) if names else F.lit(None).cast("string")
+    row = F.hex(F.xxhash64(*[quoted(c) for c in df.columns]))
+    return F.coalesce(*[quoted(n).cast("string") for n in names], row)
 
 
 def top_outliers(
-    scored: DataFrame, score: str = "anomaly_score", n: int = MAX_RECORDS, fallback_id: str | None = None
+    scored: DataFrame, score: str = "anomaly_score", n: int = MAX_RECORDS, fallback_id: str | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
     """The report's n strangest rows with their original columns; a top-k, not a sort of all rows."""
-    first = record_id(scored, fallback_id).alias("record_id")
+    first = record_id(scored.drop(score), fallback_id, keys).alias("record_id")
     rest = [c for c in scored.columns if c != score]
     return (
         scored.select(first, rounded(F.col(score)).alias(score), F.col(score).alias("_exact"), *[quoted(c) for c in rest])

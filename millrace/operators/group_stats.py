@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions.values import clean_number, is_number, quoted, whole_label
 from millrace.operators.order_stats import value_positions
 
+# A group of fewer rows has no usable variance.
 MIN_GROUP_ROWS = 5
-MAX_GROUPS = 12
 
 
 def long_groups(df: DataFrame, target: str, group_cols: Sequence[str]) -> DataFrame:
@@ -58,13 +58,15 @@ def level_moments(long: DataFrame, by: Sequence[str] = ("grouping_column", "leve
     )
 
 
-def usable_levels(moments: DataFrame) -> DataFrame:
-    """Levels with at least five rows, the twelve largest per grouping column."""
+def usable_levels(moments: DataFrame, least_rows: int = MIN_GROUP_ROWS, most_groups: int | None = None) -> DataFrame:
+    """Levels with at least ``least_rows`` rows; all of them, or the ``most_groups`` largest per grouping column."""
+    if most_groups is None:
+        return moments.where(F.col("n") >= least_rows)
     largest = Window.partitionBy("grouping_column").orderBy(F.desc("n"), "level_number", "level")
     return (
-        moments.where(F.col("n") >= MIN_GROUP_ROWS)
+        moments.where(F.col("n") >= least_rows)
         .withColumn("_place", F.row_number().over(largest))
-        .where(F.col("_place") <= MAX_GROUPS)
+        .where(F.col("_place") <= most_groups)
         .drop("_place")
     )
 

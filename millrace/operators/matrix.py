@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.values import quoted, rounded
 
-MAX_CORRELATED = 25
 SKEW_LIMIT = 1.5
 _BATCH = 200
 
@@ -110,8 +109,8 @@ def product_means(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float
     return out
 
 
-def correlation_frame(df: DataFrame, columns: Sequence[str], limit: int = MAX_CORRELATED) -> tuple[DataFrame, bool]:
-    """Long (x, y, value) Pearson matrix of at most 25 columns, the most variable ones; truncated?
+def correlation_frame(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> tuple[DataFrame, bool]:
+    """Long (x, y, value) Pearson matrix of all columns, or of the ``limit`` most variable ones; truncated?
 
     Pairs are compared over the rows where both are present; undefined correlations are 0. Columns
     without NULLs share their standardisation, so a pair costs one product; only pairs with a NULL
@@ -119,7 +118,7 @@ def correlation_frame(df: DataFrame, columns: Sequence[str], limit: int = MAX_CO
     """
     facts = column_facts(df, columns)
     chosen = list(columns)
-    truncated = len(chosen) > limit
+    truncated = limit is not None and len(chosen) > limit
     if truncated:
         chosen = sorted(columns, key=lambda c: (-facts[c].variance, columns.index(c)))[:limit]
     rows = max((f.n for f in facts.values()), default=0)

@@ -37,11 +37,13 @@ def _text_facts(df: DataFrame, names: list[str]) -> DataFrame:
     length = F.char_length("v")
     parsed = F.coalesce(
         F.col("v").try_cast("timestamp"), F.try_to_timestamp("v", F.lit("M/d/yyyy")), F.try_to_timestamp("v", F.lit("M/d/yyyy H:mm")),
-        F.try_to_timestamp("v", F.lit("d-M-yyyy")), F.try_to_timestamp("v", F.lit("d.M.yyyy")),
+        *[F.try_to_timestamp("v", F.lit(p)) for p in (
+            "d-M-yyyy", "d.M.yyyy", "d/M/yyyy", "d/M/yyyy H:mm", "yyyy/M/d", "yyyy/M/d H:mm", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd",
+        )],
     )
     # A bare short number casts to a year in Spark; it is not a date string.
     # The cheap pattern comes first, so that only likely values are parsed.
-    dated = F.col("v").rlike(r"\d[-/.:]\d") & parsed.isNotNull()
+    dated = F.col("v").rlike(r"\d[-/.:]\d|^\s*\d{1,2} \p{L}{3,9} \d{4}|^\s*\p{L}{3,9} \d{1,2}, \d{4}|^\d{8}$") & parsed.isNotNull()
     return (
         df.select(F.inline(pairs)).where("v IS NOT NULL")
         .groupBy("column_name")

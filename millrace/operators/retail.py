@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.values import is_integer, quoted
 from millrace.operators.roles import date_values, resolve_column
+from millrace.session import durable
 
 _CUSTOMER = ("customerid", "customer_id", "client_id")
 
@@ -108,7 +109,7 @@ def customer_rfm(df: DataFrame, cols: LogColumns | None = None) -> DataFrame:
 
     Lines are combined per (customer, invoice) before they are combined per customer: a customer
     holding a large share of all lines is spread over its invoices, and the distinct invoice count
-    is a plain count. The reference date is a scalar subquery over one column.
+    is a plain count. The reference date is the latest of the customers' last dates.
     """
     cols = cols or rfm_columns(df)
     when = quoted(cols.date)
@@ -124,7 +125,6 @@ def customer_rfm(df: DataFrame, cols: LogColumns | None = None) -> DataFrame:
         (quantity * price).alias("amount"),
         (F.coalesce(invoice.startswith("C"), F.lit(False)) | (quantity < 0)).cast("int").alias("is_return"),
     ).where("CustomerID IS NOT NULL AND CustomerID <> '0'")
-    latest = lines.agg(F.max("at").alias("latest")).scalar()
     per_invoice = lines.groupBy("CustomerID", "invoice").agg(
         F.max("at").alias("at"),
         F.sum(F.when(F.col("amount") > 0, F.col("amount"))).alias("spent"),
@@ -137,6 +137,9 @@ def customer_rfm(df: DataFrame, cols: LogColumns | None = None) -> DataFrame:
         F.coalesce(F.sum("spent"), F.lit(0.0)).alias("Monetary"),
         (F.sum("returns") / F.sum("lines")).alias("Return Ratio"),
     )
+    # One row per customer, stored, so that the reference date does not run the lines a second time.
+    per_customer = durable(per_customer)
+    latest = per_customer.agg(F.max("last").alias("latest")).scalar()
     # The difference of two timestamps is an interval; its day part is the number of whole days.
     days = F.extract(F.lit("DAY"), latest + F.expr("INTERVAL 1 DAY") - F.col("last"))
     return per_customer.select(

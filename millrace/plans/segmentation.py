@@ -93,8 +93,9 @@ class SegmentReport:
     id_col: str | None
     notes: list[str] = field(default_factory=list)
 
-    def outlier_records(self, n: int = frames.MAX_RECORDS) -> DataFrame:
-        return frames.top_outliers(self.scored.drop("pca_x", "pca_y", "is_outlier"), n=n, fallback_id=self.id_col)
+    def outlier_records(self, n: int = frames.MAX_RECORDS, keys: Sequence[str] = ()) -> DataFrame:
+        """The strangest records; ``keys`` are the columns that name a record where no column does alone."""
+        return frames.top_outliers(self.scored.drop("pca_x", "pca_y", "is_outlier"), n=n, fallback_id=self.id_col, keys=keys)
 
     def points(self, cap: int = frames.MAX_POINTS, seed: int = 42) -> DataFrame:
         picked = frames.scatter_points(self.scored, cap=cap, id_col=self.id_col, seed=seed)
@@ -110,8 +111,10 @@ def run_segmentation(
     trees: int = TREES,
     contamination: float = CONTAMINATION,
     fit_cap: int | None = None,
+    sample_rows: int | None = None,
 ) -> SegmentReport:
-    """Every row is assigned, projected and scored. All rows are fitted unless ``fit_cap`` asks for a sample."""
+    """Every row is assigned, projected and scored. All rows are fitted unless ``fit_cap`` asks for a sample, and all rows decide K
+    unless ``sample_rows`` does."""
     feats = segment_features(df, id_col)
     keep = list(dict.fromkeys([*feats.columns, *([feats.id_col] if feats.id_col else [])]))
     # Only the features (and the id) are kept for the passes that follow, not the context columns.
@@ -124,7 +127,7 @@ def run_segmentation(
     fit_rows = clusters.hash_sample(narrow, fit_cap, feats.id_col, seed) if sampled else narrow
     facts = matrix.column_facts(fit_rows, feats.columns)
     fit = clusters.assemble(matrix.standardise(fit_rows, facts), feats.columns).persist()
-    k, method, scores, model = clusters.choose_k(fit, fit_cap if sampled else rows, feats.id_col, seed)
+    k, method, scores, model = clusters.choose_k(fit, fit_cap if sampled else rows, feats.id_col, seed, sample_rows)
     grown = forest.fit_forest(fit, feats.columns, trees, seed, feats.id_col)
     fit_scores = grown.score(fit).select("anomaly_score").persist()
     _, cut = forest.flag_outliers(fit_scores, contamination)
@@ -149,11 +152,11 @@ class ClusterJob:
 
 def cluster_job(
     df: DataFrame, features: Sequence[str] = FIXED_FEATURES, k: int = 4, seed: int = 42,
-    silhouette_gate: float = 0.50, variance_gate: float = 0.60, id_col: str | None = None,
+    silhouette_gate: float = 0.50, variance_gate: float = 0.60, id_col: str | None = None, sample_rows: int | None = None,
 ) -> ClusterJob:
     """Fixed-feature K-Means and projection with a quality report.
 
-    The gate uses the Euclidean silhouette of a sample; the squared-Euclidean one covers all rows.
+    The gate uses the squared Euclidean silhouette of all rows, or the Euclidean one of ``sample_rows`` rows when asked for.
     """
     missing = [c for c in features if c not in df.columns]
     if missing:
@@ -173,10 +176,11 @@ def cluster_job(
     flat, explained = clusters.project_2d(scaled, scaled)
     assigned = model.transform(flat)
     squared = clusters.squared_silhouette(assigned)
-    sampled = clusters.euclidean_silhouette(clusters.hash_sample(assigned, 2000, id_col, seed))
+    sampled = clusters.euclidean_silhouette(clusters.hash_sample(assigned, sample_rows, id_col, seed)) if sample_rows else None
+    judged = squared if sampled is None else sampled
     first, second = explained[0], explained[1] if len(explained) > 1 else 0.0
     report = df.sparkSession.createDataFrame(
-        [(k, sampled, squared, first, second, first + second, bool((sampled or 0) >= silhouette_gate), bool(first + second >= variance_gate))],
+        [(k, sampled, squared, first, second, first + second, bool(judged >= silhouette_gate), bool(first + second >= variance_gate))],
         "k int, silhouette double, silhouette_squared double, variance_1 double, variance_2 double, variance_2d double,"
         " silhouette_ok boolean, variance_ok boolean",
     )

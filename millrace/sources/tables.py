@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", ";", "\t", "|", ":")
-_PROBE_LINES = 1000
 
 
 class UnsupportedFormat(ValueError):
@@ -22,9 +21,19 @@ def probe_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if broken else "UTF-8"
 
 
+def _open_quote() -> Column:
+    """Whether a line holds an odd number of quotes: a cell goes on over the line's end."""
+    return F.regexp_count("value", F.lit('"')) % 2 == 1
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether quoted cells hold line breaks. Only then a file must be read as a whole."""
+    return not spark.read.text(path).where(_open_quote()).isEmpty()
+
+
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter with the same non-zero count on every probed line; the most frequent one wins."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(_PROBE_LINES)
+    """The delimiter with the same non-zero count on every line outside quotes; the most frequent one wins."""
+    lines = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~_open_quote())
     bare = F.regexp_replace("value", '"[^"]*"', "")
     counts = lines.select(*[(F.length(bare) - F.length(F.replace(bare, F.lit(d)))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)])
     r = counts.agg(
@@ -36,14 +45,14 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, schema=None
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, schema=None, multi_line: bool | None = None
 ) -> DataFrame:
-    """CSV with header. Separator and encoding are probed when not given; a schema saves the type pass."""
+    """CSV with header. Separator, encoding and line breaks in cells are probed when not given; a schema saves the type pass."""
     reader = (
         spark.read.option("header", True)
         .option("sep", sep or sniff_delimiter(spark, path))
         .option("encoding", encoding or probe_encoding(spark, path))
-        .option("quote", '"').option("escape", '"').option("multiLine", False)
+        .option("quote", '"').option("escape", '"').option("multiLine", has_line_breaks(spark, path) if multi_line is None else multi_line)
     )
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 

@@ -61,7 +61,9 @@ def test_look_back_shrinks():
     assert short.windows == (7,) and max(short.lags) <= 21
     with pytest.raises(TooShort):
         choose_look_back("D", 20)
-    assert clamp_horizon("D", 500) == 90 and clamp_horizon("W", None) == 8 and clamp_horizon("Q", -3) == 1
+    assert clamp_horizon("D", 90) == 90 and clamp_horizon("W", None) == 8 and clamp_horizon("Q", -3) == 1
+    with pytest.raises(ValueError):
+        clamp_horizon("D", 500)
 
 
 @pytest.mark.parametrize("got, want", [

@@ -82,7 +82,7 @@ def test_cluster_job_checks(spark):
     with pytest.raises(TypeError):
         sg.cluster_job(df, ["a", "word"])
     report = sg.cluster_job(df, ["a", "b"], 3).report.first()
-    assert report["silhouette"] > 0.7 and report["silhouette_ok"] and report["variance_2d"] == pytest.approx(1.0)
+    assert report["silhouette_squared"] > 0.7 and report["silhouette_ok"] and report["variance_2d"] == pytest.approx(1.0)
 
 
 def test_contextual_detector(spark, tmp_path):

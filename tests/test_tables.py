@@ -120,7 +120,7 @@ def test_leaks_identical_and_scaled(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("y"), (F.col("id") * 1.0).alias("same"), (F.col("id") * 2.0 + 1).alias("scaled"),
                                 (F.col("id") % 7).cast("double").alias("free"), F.lit(1.0).alias("flat"))
     leaks = roles.target_leaks(df, "y", ["same", "scaled", "free", "flat"])
-    assert "identical" in leaks["same"] and "near-duplicate" in leaks["scaled"] and set(leaks) == {"same", "scaled"}
+    assert leaks["same"] == "identical" and leaks["scaled"] == "correlated" and set(leaks) == {"same", "scaled"}
 
 
 def test_frequency_of_months(spark):
