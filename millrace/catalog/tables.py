@@ -366,5 +366,5 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
 ))
 def landing_audit(spark, sf_dir):
     """Admission audit of the table folder itself."""
-    found = landing.audit(spark, sf_dir)
+    found = landing.audit(spark, sf_dir, limits=landing.UPLOAD)
     return shown(found.select("name", "accepted", "status", "reason", "parquet_rows"))

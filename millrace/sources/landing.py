@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Limits, allowed extensions and the MIME types that go with each.
+# Usual upload limits, allowed extensions and the MIME types that go with each.
 MAX_BYTES = 50 * 1024 * 1024
 MAX_LINE_BYTES = 10 * 1024 * 1024
 MAX_COLUMNS = 10_000
@@ -31,27 +31,38 @@ MIME_TYPES: dict[str, tuple[str, ...]] = {
     "md": ("text/markdown", "text/plain"),
 }
 UNDECLARED_MIME = ("", "application/octet-stream", "multipart/form-data")
-EXECUTABLE_MARKS: dict[str, tuple[str, ...]] = {
-    "Windows executable": ("4D5A",),
-    "Linux ELF": ("7F454C46",),
-    "Mach-O executable": ("FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE", "CAFEBABE", "BEBAFECA"),
-    "script": ("2321",),
-    "PNG image": ("89504E470D0A1A0A",),
+EXECUTABLE_MARKS: dict[str, tuple[bytes, ...]] = {
+    "Windows executable": (b"MZ",),
+    "Linux ELF": (b"\x7fELF",),
+    "Mach-O executable": (b"\xfe\xed\xfa\xce", b"\xce\xfa\xed\xfe", b"\xfe\xed\xfa\xcf", b"\xcf\xfa\xed\xfe", b"\xca\xfe\xba\xbe", b"\xbe\xba\xfe\xca"),
+    "script": (b"#!",),
+    "PNG image": (b"\x89PNG\r\n\x1a\n",),
 }
 FORMAT_MARKS = {
-    "parquet": "50415231", "xlsx": "504B0304", "docx": "504B0304", "xls": "D0CF11E0A1B11AE1", "pdf": "255044462D",
+    "parquet": b"PAR1", "xlsx": b"PK\x03\x04", "docx": b"PK\x03\x04", "xls": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "pdf": b"%PDF-",
 }
 
 
 @dataclass(frozen=True)
 class Limits:
-    file_bytes: int = MAX_BYTES
-    line_bytes: int = MAX_LINE_BYTES
-    columns: int = MAX_COLUMNS
-    parquet_rows: int = MAX_PARQUET_ROWS
+    """What may enter; None is no limit. ``UPLOAD`` holds the limits of a small upload service."""
+
+    file_bytes: int | None = None
+    line_bytes: int | None = None
+    columns: int | None = None
+    parquet_rows: int | None = None
     extensions: tuple[str, ...] = TABULAR
 
 
+UPLOAD = Limits(MAX_BYTES, MAX_LINE_BYTES, MAX_COLUMNS, MAX_PARQUET_ROWS)
+# A file of more bytes does not fit one cell, so its content is not looked at.
+_CELL_BYTES = 2_000_000_000
+
+
+def _over(value: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else value > limit
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -60,10 +71,10 @@ def extension(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_extract(name, r"\.([^.]*)$", 1)))
 
 
-def _starts(content: Column, *marks: str) -> Column:
+def _starts(content: Column, *marks: bytes) -> Column:
     hit = F.lit(False)
     for mark in marks:
-        hit = hit | (F.hex(F.substring(content, 1, len(mark) // 2)) == mark)
+        hit = hit | (F.substring(content, 1, len(mark)) == F.lit(bytearray(mark)))
     return hit
 
 
@@ -81,7 +92,7 @@ def _first_failure(rules: list[tuple[Column, int, str | Column]]) -> Column:
 def name_rules(limits: Limits) -> list[tuple[Column, int, str | Column]]:
     name, ext = F.col("name"), F.col("extension")
     return [
-        (F.col("length") > limits.file_bytes, 413, "file too large"),
+        (_over(F.col("length"), limits.file_bytes), 413, "file too large"),
         (F.col("length") == 0, 422, "empty file"),
         (F.contains(name, F.lit("\x00")) | F.contains(F.lower(name), F.lit("%00")), 415, "null byte in file name"),
         (~F.contains(name, F.lit(".")), 415, "no extension"),
@@ -105,17 +116,17 @@ def content_rules() -> list[tuple[Column, int, str | Column]]:
     ]
     for kind, mark in FORMAT_MARKS.items():
         rules.append(((ext == kind) & ~_starts(content, mark), 415, f"not a {kind} file"))
-    tail = F.hex(F.substring(content, -4, 4))
-    rules.append(((ext == "parquet") & (tail != FORMAT_MARKS["parquet"]), 422, "corrupted Parquet file"))
+    tail = F.substring(content, -4, 4)
+    rules.append(((ext == "parquet") & (tail != F.lit(bytearray(FORMAT_MARKS["parquet"]))), 422, "corrupted Parquet file"))
     # ISO-8859-1 maps each byte to one character, so a NUL byte stays findable.
     text = F.decode(content, "ISO-8859-1")
     rules.append((ext.isin("csv", "tsv", "txt", "md") & F.contains(text, F.lit("\x00")), 415, "null byte in text"))
     return rules
 
 
-def header_columns(content: Column, ext: Column, prefix_bytes: int = MAX_LINE_BYTES) -> tuple[Column, Column]:
+def header_columns(content: Column, ext: Column) -> tuple[Column, Column]:
     """Fields of the first record and whether it is malformed; quoted parts and a BOM are set aside."""
-    text = F.decode(F.substring(content, 1, prefix_bytes), "ISO-8859-1")
+    text = F.decode(content, "ISO-8859-1")
     bare = F.regexp_replace(F.regexp_replace(text, "^ï»¿", ""), '"[^"]*+"', "")
     record = F.substring_index(bare, "\n", 1)
     delimiter = F.when(ext == "tsv", F.lit("\t")).otherwise(F.lit(","))
@@ -176,7 +187,7 @@ def audit(
         listed = listed.withColumn("mime", F.lit(None).cast("string"))
     cheap = listed.withColumn("early", _first_failure([*name_rules(limits), mime_rule()]))
     # Oversized files are filtered by the listing itself, before any content is read.
-    seen = files.where((F.col("length") > 0) & (F.col("length") <= limits.file_bytes)).select(
+    seen = files.where((F.col("length") > 0) & (F.col("length") <= min(limits.file_bytes or _CELL_BYTES, _CELL_BYTES))).select(
         _file_key().alias("file"), "content", extension(file_name(F.col("path"))).alias("extension")
     )
     fields, malformed = header_columns(F.col("content"), F.col("extension"))
@@ -193,10 +204,10 @@ def audit(
         .join(parquet_rows(spark, folder), "file", "left")
     )
     last = _first_failure([
-        (F.col("longest_line") > limits.line_bytes, 413, "line too long"),
+        (_over(F.col("longest_line"), limits.line_bytes), 413, "line too long"),
         (F.col("malformed"), 422, "malformed header"),
-        (F.col("fields") > limits.columns, 422, "too many columns"),
-        ((F.col("extension") == "parquet") & (F.coalesce("parquet_rows", F.lit(0)) > limits.parquet_rows), 413,
+        (_over(F.col("fields"), limits.columns), 422, "too many columns"),
+        ((F.col("extension") == "parquet") & _over(F.coalesce("parquet_rows", F.lit(0)), limits.parquet_rows), 413,
          "too many Parquet rows"),
     ])
     verdict = F.coalesce("early", "late", last)
