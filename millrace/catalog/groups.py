@@ -192,16 +192,21 @@ def confusion_metrics(spark, sf_dir):
 
 @query("""WITH j AS (SELECT toxic = 1 AS t, n_chars AS s FROM documents JOIN labels USING (doc_id)),
 r AS (SELECT t, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk, s FROM j),
-n AS (SELECT count(*) FILTER (t)::DOUBLE AS p, count(*) FILTER (NOT t)::DOUBLE AS q, quantile_cont(s::DOUBLE, 0.95) AS cut FROM r)
-SELECT round((sum(rk) FILTER (t) - p * (p + 1) / 2) / (p * q), 4) AS roc_auc,
+n AS (SELECT count(*) FILTER (t)::DOUBLE AS p, count(*) FILTER (NOT t)::DOUBLE AS q, quantile_cont(s::DOUBLE, 0.95) AS cut FROM r),
+v AS (SELECT s, count(*) FILTER (t) AS hits, count(*) AS n FROM j GROUP BY s),
+c AS (SELECT s, sum(hits) OVER w / (SELECT p FROM n) AS recall, sum(hits) OVER w / sum(n) OVER w AS prec FROM v WINDOW w AS (ORDER BY s DESC)),
+a AS (SELECT sum((recall - coalesce(before, 0)) * (prec + coalesce(last, prec)) / 2) AS area
+  FROM (SELECT recall, prec, lag(recall) OVER (ORDER BY s DESC) AS before, lag(prec) OVER (ORDER BY s DESC) AS last FROM c))
+SELECT (SELECT round(area, 4) FROM a) AS pr_auc, round((sum(rk) FILTER (t) - p * (p + 1) / 2) / (p * q), 4) AS roc_auc,
   round(count(*) FILTER (t AND s >= cut) / p, 4) AS recall_top_5 FROM r, n GROUP BY p, q, cut""")
 def score_curves(spark, sf_dir):
-    """ROC area and recall in the top 5 % of a score (document length against the toxic label)."""
+    """ROC and precision-recall areas, and recall in the top 5 %, of a score (document length against the toxic label)."""
     documents = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
     judged = documents.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").persist()
     areas = metrics.curve_areas(judged, "toxic", "score")
-    row = (float(areas["roc_auc"]), float(metrics.top_share_recall(judged, "toxic", "score")))
-    return shown(spark.createDataFrame([row], "roc_auc double, recall_top_5 double"))
+    row = (float(areas["pr_auc"]), float(areas["roc_auc"]), float(metrics.top_share_recall(judged, "toxic", "score")))
+    judged.unpersist()
+    return shown(spark.createDataFrame([row], "pr_auc double, roc_auc double, recall_top_5 double"))
 
 
 @query("""SELECT lang, count(*) AS kept, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY lang""")

@@ -60,6 +60,14 @@ def type_profile(spark, sf_dir):
     return shown(profile.semantic_types(table(spark, sf_dir, "events")).drop("position"))
 
 
+@query(_union([f"SELECT DISTINCT '{c}' AS column_name, 'datetime' AS inferred_type FROM events" for c in ("compact", "day_first", "slashes", "stamp", "words")]))
+def type_profile_dates(spark, sf_dir):
+    """Event times in five spellings; each reads as dates."""
+    spellings = {"compact": "yyyyMMdd", "day_first": "dd/MM/yyyy", "slashes": "yyyy/MM/dd", "stamp": "dd/MM/yyyy HH:mm", "words": "d MMM yyyy"}
+    events = table(spark, sf_dir, "events").select(*[F.date_format("ts", p).alias(c) for c, p in spellings.items()])
+    return shown(profile.semantic_types(events).drop("position"))
+
+
 @query("WITH n AS (SELECT count(*) AS t FROM documents), ty AS (" + _union([
     _int_type_sql("documents", "doc_id"), _text_type_sql("documents", "text"), _text_type_sql("documents", "lang"),
     _text_type_sql("documents", "source"), _int_type_sql("documents", "n_chars"),
