@@ -109,8 +109,8 @@ def fit_forest(
 
     A row enters the candidates of a tree when its own draw falls under a threshold set for twice
     the sample; the smallest draws win. One pass serves all trees and only candidates are shuffled.
-    With a unique ``id_col`` the draw is a hash of (id, tree), the same under any partitioning; else
-    it is a seeded random number. The node table is collected once, so scoring uses one fixed forest.
+    The draw is a hash of (id, tree), or without ``id_col`` of (features, tree), the same under any
+    partitioning; rows with equal features then draw alike. The node table is collected once, so scoring uses one fixed forest.
     """
     total = df.count()
     size = min(sample_rows, total)
@@ -118,9 +118,8 @@ def fit_forest(
     span = float(2**53)
 
     def draw(tree: int):
-        if id_col is None:
-            return F.rand(seed * 100_003 + tree)
-        bits = F.shiftrightunsigned(F.xxhash64(quoted(id_col), F.lit(seed), F.lit(tree)), 11)
+        named = [id_col] if id_col else list(features)
+        bits = F.shiftrightunsigned(F.xxhash64(*[quoted(c) for c in named], F.lit(seed), F.lit(tree)), 11)
         return bits.cast("double") / span
 
     hits = F.filter(
