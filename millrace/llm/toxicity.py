@@ -155,18 +155,18 @@ def train(texts: list[str | None], labels: np.ndarray, width: int = 4, epochs: i
 
 
 def learn_toxicity(
-    documents: DataFrame, labels: DataFrame, raw_text: str = "raw_text", file_id: str = "fileId", label: str = "toxic", most_per_class: int = 6000, **options
+    documents: DataFrame, labels: DataFrame, raw_text: str = "raw_text", file_id: str = "fileId", label: str = "toxic", most_clean: int = 6000, most_toxic: int = 3500, **options
 ) -> ToxicityModel:
-    """Train on the texts of labelled records, at most ``most_per_class`` of each label, drawn by a hash of the id.
+    """Train on the texts of labelled records, at most ``most_clean`` of label 0 and ``most_toxic`` of label 1, drawn by a hash of the id.
 
-    That bound is the documented size of the training sample; whole texts are used. Rows without an id or label are not drawn.
+    Those bounds are the documented size of the training sample; whole texts are used. Rows without an id or label are not drawn.
     """
     told = labels.select(quoted(file_id).alias("id"), quoted(label).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     drawn = None
-    for value in (0, 1):
-        part = told.filter(F.col("label") == value).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_per_class)
+    for value, most in ((0, most_clean), (1, most_toxic)):
+        part = told.filter(F.col("label") == value).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most)
         drawn = part if drawn is None else drawn.unionByName(part)
-    rows = common.records(documents, file_id, raw_text).join(F.broadcast(drawn), "id")  # at most two times most_per_class narrow rows
+    rows = common.records(documents, file_id, raw_text).join(F.broadcast(drawn), "id")  # at most most_clean + most_toxic narrow rows
     held = sorted(((r["id"], r["text"] or "", r["label"]) for r in rows.select("id", "text", "label").toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
     return train([r[1] for r in held], np.array([r[2] for r in held], np.int64), **options)
 
