@@ -14,6 +14,8 @@ from millrace.llm import common
 from millrace.llm.common import SubstringHash, column, mix
 
 _SEED = 11
+# Above twice the greatest length.
+_RUN_SIZES = 4096
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -199,15 +201,16 @@ def _covered(joined: DataFrame, length: int, texts: bool) -> DataFrame:
     def clean(batches):
         hashes = SubstringHash(_SEED + 2)
         for batch in batches:
-            source, begins, ends = (column(batch, n) for n in ("text", "begins", "ends"))
+            source, runs = column(batch, "text"), column(batch, "runs")
             out: list[tuple] = []
             for i in range(len(source)):
                 data = _bytes(source[i].as_py())
                 n = len(data)
                 edge = np.zeros(n + 1, np.int64)
-                if begins[i].is_valid:
-                    np.add.at(edge, begins[i].values.to_numpy(), 1)
-                    np.add.at(edge, ends[i].values.to_numpy(), -1)
+                if runs[i].is_valid:
+                    begin, size = np.divmod(runs[i].values.to_numpy(), _RUN_SIZES)
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + size, -1)
                 if n >= length:
                     hashes.load(data)
                     own = hashes.windows(length)
@@ -270,8 +273,10 @@ def drop_repeated_spans(
     # A record gives each window once and an open position gives dozens, so no window has a large share of the rows.
     by_window = Window.partitionBy("window").orderBy("id", "row", "start")
     later = windows.withColumn("place", F.dense_rank().over(by_window)).filter("place > 1")
-    removed = marked.filter("NOT open").select(*key, (F.col("at") - F.col("before")).alias("begin"), (F.col("at") - F.col("after") + length).alias("end"))
-    removed = removed.unionByName(later.select(*key, F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
-    by_row = removed.groupBy(*key).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    joined = rows.join(named(by_row, "begins", "ends"), same, "left").select("id", "row", "text", "begins", "ends")
+    # Begin and size of a removed run in one number: half the bytes of two.
+    run = (F.col("at") - F.col("before")) * _RUN_SIZES + F.col("before") - F.col("after") + length
+    removed = marked.filter("NOT open").select(*key, run.alias("run"))
+    removed = removed.unionByName(later.select(*key, (F.col("start") * _RUN_SIZES + length).alias("run")))
+    by_row = removed.groupBy(*key).agg(F.collect_list("run").alias("runs"))
+    joined = rows.join(named(by_row, "runs"), same, "left").select("id", "row", "text", "runs")
     return _covered(joined, length, texts).drop("row")
