@@ -23,15 +23,20 @@ _SMALL_RUN = 48
 _LANES = 1 << 15
 
 
-def _fingerprint(text: str | None, shingle_words: int, seed: int) -> int:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle_words: int, seed: int) -> list[int]:
+    """XXH64 of every run of ``shingle_words`` words; of all words where there are fewer."""
     joined = b" ".join(words)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
     k = min(shingle_words, len(words))
-    hashed = [xxhash.xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :])]
+    return [xxhash.xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[k - 1 :])]
+
+
+def _fingerprint(text: str | None, shingle_words: int, seed: int) -> int:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return 0
+    hashed = shingle_hashes(words, shingle_words, seed)
     ones = np.zeros(64, np.int64)
     values = np.array(hashed, np.uint64)
     for part in range(0, len(values), 1 << 16):
@@ -277,7 +282,11 @@ def keep_one_of_each(documents: DataFrame, raw_text: str = "raw_text", file_id:
     Repeated rows of that id count as copies: one of them stays. Rows with a NULL id stay when no record with an id shares their
     fingerprint. An empty table stays empty.
     """
-    groups = near_duplicates(documents, raw_text, file_id, radius, shingle_words)
+    return keep_least_of_each(documents, near_duplicates(documents, raw_text, file_id, radius, shingle_words), raw_text, file_id)
+
+
+def keep_least_of_each(documents: DataFrame, groups: DataFrame, raw_text: str, file_id: str) -> DataFrame:
+    """The rows whose id is the ``component`` of their group (``id``, ``digest``, ``component``), one of each id."""
     others = groups.filter((F.col("id") != F.col("component")) | (F.col("id").isNull() & F.col("component").isNotNull()))
     kept = common.drop_rows(documents, others.select("id", "digest").distinct(), file_id, raw_text)
     # Rows that share a kept id: few, found on the narrow frame; only they are compared again.

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import chunks, queries, simhash, suffixes
+import corpus_pipeline
+from millrace.llm import chunks, nearcopies, queries, simhash, suffixes
 from millrace.llm.components import components
 
 RNG = random.Random(7)
@@ -203,3 +204,55 @@ def test_queries_read_whole_tables(spark, sf_dir):
     exact = {i: n for i, (_, n, _, _) in found.items()}
     cut = {r["doc_id"]: r["n_removed"] for r in queries.QUERIES["op1_substring_dedup"](spark, sf_dir).collect()}
     assert cut.keys() == exact.keys() and sum(cut.values()) > 0.6 * sum(exact.values())
+
+
+def shingle_sets(text, k=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def brute_copies(rows, similarity=0.8):
+    """Smallest id of the group of each id, by the Jaccard similarity of all pairs."""
+    sets = {i: shingle_sets(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if a == b or (a | b and len(a & b) >= similarity * len(a | b) - 1e-9):
+            low, high = sorted((root[i], root[j]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def edited(text, n, seed):
+    """``n`` words replaced, spread evenly over the text."""
+    rng, words = random.Random(seed), text.split()
+    for p in range(n):
+        words[(2 * p + 1) * len(words) // (2 * n)] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_copies_with_spread_edits_equal_brute_force(records):
+    rows = []
+    for g in range(30):
+        base = prose(400, 900 + g)
+        # 4, 6 and 12 words of 400: similarities of about 0.90, 0.86 and 0.74 to the first text.
+        rows += [(10 * g, base), (10 * g + 1, edited(base, 4, g)), (10 * g + 2, edited(base, 6, 50 + g)), (10 * g + 3, edited(base, 12, 90 + g))]
+    # A chain: each text is near to the one before only.
+    text = prose(300, 5)
+    for k in range(12):
+        rows.append((1000 + k, text))
+        text = edited(text, 5, 300 + k)
+    rows += [(2000, "One two  three"), (2001, "one TWO three"), (2002, "one two four"), (2003, None), (2004, " ")]
+    wanted = brute_copies(rows)
+    found = {r["id"]: r["component"] for r in nearcopies.near_copies(records(rows)).collect()}
+    assert found == wanted
+    kept = nearcopies.keep_one_of_each(records([*rows, rows[0], (None, "ONE two three"), (None, "alone")]))
+    assert sorted(r["fileId"] for r in kept.collect() if r["fileId"] is not None) == sorted(set(wanted.values()))
+    assert [r["raw_text"] for r in kept.collect() if r["fileId"] is None] == ["alone"]
+    assert nearcopies.keep_one_of_each(records([])).count() == 0
+
+
+def test_pipeline_stage_takes_spread_edits(spark, records):
+    base = prose(400, 77)
+    docs = records([(1, base), (2, edited(base, 6, 1)), (3, prose(400, 78))]).selectExpr("fileId AS doc_id", "raw_text AS text")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
