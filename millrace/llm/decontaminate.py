@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK walks and bit sampling find candidate windows, exact edit distances decide."""
+"""Benchmark decontamination: CGK walks, bit sampling and intact seeds find candidate windows, exact edit distances decide."""
 
 from __future__ import annotations
 
@@ -21,6 +21,14 @@ _SAMPLED = 20
 _CHECKS = (13,)
 _FILTER_BITS = 20
 _RUN = 1 << 15
+# Seed lengths; an item has the longest one that keeps an intact seed with this chance under edits at the edge of the bound.
+_SEEDS = (12, 10, 8, 7, 6, 5, 4, 3, 2)
+_RECALL = 0.95
+# Bytes of an item around a seed that are compared first, and the share of them that may differ.
+_PIECE = 64
+_PIECE_SHARE = 0.3
+_SEED_FILTER_BITS = 22
+_CANDIDATES = 1 << 13
 
 
 def _plain(text: str) -> str:
@@ -105,8 +113,52 @@ def edit_distance_within(item: str, window: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+def intact_chance(length: int, seed: int, rate: float) -> float:
+    """Chance that ``length`` bytes, each edited with chance ``rate``, hold ``seed`` neighbours without an edit."""
+    if length < seed:
+        return 0.0
+    whole = (1 - rate) ** seed
+    none = [1.0] * seed + [1 - whole]
+    for n in range(seed + 1, length + 1):
+        none.append(none[n - 1] - rate * whole * none[n - seed - 1])
+    return 1 - none[length]
+
+
+def seed_length(chars: int, size: int, most: int) -> int:
+    """Bytes of a seed for an item of so many characters and bytes, at most ``most`` edits.
+
+    Under a walk's length one of ``most + 1`` pieces has no edit, so no near copy is lost.
+    """
+    if size < WALK_STEPS:
+        return max(1, chars // (most + 1))
+    return next((q for q in _SEEDS if intact_chance(size, q, most / chars) >= _RECALL), _SEEDS[-1])
+
+
+def piece_distances(pieces: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Least edit distance of each row of ``pieces`` (up to 64 bytes, zero padded in front) to any part of its row of ``windows``.
+
+    The column of the table is a machine word, and all rows advance together. Padding counts as equal to everything.
+    """
+    n, m = pieces.shape
+    padded = pieces == 0
+    one, plus, minus = np.uint64(1), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(n, np.uint64)
+    # Rows of padding cost nothing: they start without a vertical step.
+    plus &= ~np.packbits(padded, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    score = (~padded).sum(axis=1).astype(np.int32)
+    best, top = score.copy(), np.uint64(m - 1)
+    for j in range(windows.shape[1]):
+        eq = np.packbits((pieces == windows[:, j : j + 1]) | padded, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        zero = (((eq & plus) + plus) ^ plus) | eq | minus
+        up, down = minus | ~(zero | plus), plus & zero
+        score += ((up >> top) & one).astype(np.int32) - ((down >> top) & one).astype(np.int32)
+        up, down = up << one, down << one
+        plus, minus = down | ~(zero | up), up & zero
+        np.minimum(best, score, out=best)
+    return best
+
+
 class ItemIndex:
-    """Keys of the walks from every word start of every item, sorted, per repetition; and the plain item texts."""
+    """Keys of the walks from every word start of every item, sorted, per repetition; seeds from every byte; the plain item texts."""
 
     def __init__(self, items: list[tuple], similarity: float, repetitions: int, seed: int) -> None:
         self.ids = [i for i, _ in items]
@@ -123,7 +175,9 @@ class ItemIndex:
         item = np.searchsorted(bounds, starts, side="right") - 1
         ends = bounds[item + 1] - 1
         fits = ends - starts >= WALK_STEPS
-        self.short = [k for k, t in enumerate(encoded) if t and len(t) < WALK_STEPS]
+        self.short = [k for k, t in enumerate(self.texts) if t and self.most[k] < 2]
+        self.encoded = encoded
+        self.seeds = self._seeds()
         starts, item = starts[fits], item[fits]
         self.tables = []
         for walk in self.walks:
@@ -132,6 +186,64 @@ class ItemIndex:
             known = walk.bitmaps(data, starts)
             self.tables.append((key[order], item[order].astype(np.int32), (starts - bounds[item])[order].astype(np.int32), known))
 
+    def _seeds(self) -> list[tuple]:
+        """(length, sorted hashes, item, offset, filter) of the seeds of each length."""
+        hashed, by_length = common.SubstringHash(), {}
+        for k, data in enumerate(self.encoded):
+            if data and self.most[k] >= 2:
+                by_length.setdefault(seed_length(len(self.texts[k]), len(data), self.most[k]), []).append(k)
+        tables = []
+        for length, members in sorted(by_length.items()):
+            keys = []
+            for k in members:
+                hashed.load(np.frombuffer(self.encoded[k], np.uint8))
+                keys.append(hashed.windows(length))
+            item = np.repeat(np.array(members, np.int32), [len(x) for x in keys])
+            offset = np.concatenate([np.arange(len(x), dtype=np.int32) for x in keys])
+            key = np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            known = np.zeros(1 << _SEED_FILTER_BITS, bool)
+            known[key >> np.uint64(64 - _SEED_FILTER_BITS)] = True
+            tables.append((length, key[order], item[order], offset[order], known))
+        return tables
+
+    def _seeded(self, data: np.ndarray, size: int, width: int):
+        """(position of the item's start, item) of windows that hold a seed, and around it a piece near to the item's."""
+        if not self.seeds:
+            return
+        hashed = common.SubstringHash()
+        hashed.load(data[:size])
+        sizes, most = np.array(self.sizes), np.array(self.most)
+        flat = np.frombuffer(b"".join(self.encoded), np.uint8)
+        bounds = np.cumsum([0, *self.sizes])
+        edge = 2 * _PIECE
+        around = np.concatenate([np.zeros(edge, np.uint8), data[:size], np.zeros(edge, np.uint8)])
+        for length, keys, item, offset, known in self.seeds:
+            window = hashed.windows(length)
+            place = np.flatnonzero(known[window >> np.uint64(64 - _SEED_FILTER_BITS)])
+            low = np.searchsorted(keys, window[place], side="left")
+            count = np.searchsorted(keys, window[place], side="right") - low
+            place, low, count = place[count > 0], low[count > 0], count[count > 0]
+            # So many candidates at a time, however often a seed occurs.
+            upto = np.cumsum(count)
+            for part in range(0, int(upto[-1]) if len(upto) else 0, _CANDIDATES):
+                n = np.arange(part, min(part + _CANDIDATES, int(upto[-1])))
+                row = np.searchsorted(upto, n, side="right")
+                entry = low[row] + n - (upto[row] - count[row])
+                at, k, off = place[row], item[entry], offset[entry].astype(np.int64)
+                held = np.minimum(sizes[k], _PIECE)
+                first = np.clip(off - (_PIECE - length) // 2, 0, sizes[k] - held)
+                inside = np.arange(_PIECE)[None, :] - (_PIECE - held)[:, None]
+                pieces = np.where(inside >= 0, flat[np.minimum(bounds[k][:, None] + first[:, None] + np.maximum(inside, 0), len(flat) - 1)], 0)
+                whole = held == sizes[k]
+                least = np.where(whole, np.minimum(most[k] * width, held), np.ceil(_PIECE_SHARE * _PIECE)).astype(np.int64)
+                # The seed is in place, so a start is off by the allowed edits before it, an end by those after it.
+                slack = int(least.max())
+                begin = at - off + first
+                span = around[np.clip(begin[:, None] + edge + np.arange(-slack, _PIECE + slack)[None, :], 0, len(around) - 1)]
+                near = np.flatnonzero(piece_distances(pieces.astype(np.uint8), span) <= least)
+                yield (at - off)[near], k[near], at[near]
+
     def matches(self, texts: list[str]) -> dict[tuple[int, int], int]:
         """Distance of each (text, item) pair with a window within the item's bound."""
         encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -160,26 +272,32 @@ class ItemIndex:
             entry = np.arange(count[hit].sum()) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + np.repeat(low[hit], count[hit])
             at = starts[kept[reach]]
             text = np.searchsorted(bounds, at, side="right") - 1
-            for t, k, begin in zip(text.tolist(), item[entry].tolist(), (at - offset[entry]).tolist()):
-                most = self.most[k]
-                if found.get((t, k)) == 0:
-                    continue
-                # The true start is within the bound of each candidate's, so twice the bound covers all candidates of a cell.
-                slack = width * (2 * most + 2)
-                grid = begin // max(1, most + 1)
-                if (t, k, grid) in seen:
-                    continue
-                seen.add((t, k, grid))
-                span = slice(max(int(bounds[t]), begin - slack), min(int(bounds[t + 1]) - 1, begin + self.sizes[k] + slack))
-                distance = edit_distance_within(self.texts[k], joined[span].decode("utf-8", "ignore"), most)
-                if distance is not None and distance < found.get((t, k), most + 1):
-                    found[t, k] = distance
+            self._decide(text, item[entry], at - offset[entry], joined, bounds, width, seen, found)
+        for begin, k, at in self._seeded(data, int(bounds[-1]), width):
+            self._decide(np.searchsorted(bounds, at, side="right") - 1, k, begin, joined, bounds, width, seen, found)
         for k in self.short:
             for t, text in enumerate(texts):
                 if f" {self.texts[k]} " in f" {text} ":
                     found[t, k] = 0
         return found
 
+    def _decide(self, texts, items, begins, joined, bounds, width, seen, found) -> None:
+        """Exact distances of candidate windows, each cell of starts once."""
+        for t, k, begin in zip(texts.tolist(), items.tolist(), begins.tolist()):
+            most = self.most[k]
+            if found.get((t, k)) == 0:
+                continue
+            # The true start is within the bound of each candidate's, so twice the bound covers all candidates of a cell.
+            slack = width * (2 * most + 2)
+            grid = begin // max(1, most + 1)
+            if (t, k, grid) in seen:
+                continue
+            seen.add((t, k, grid))
+            span = slice(max(int(bounds[t]), begin - slack), min(int(bounds[t + 1]) - 1, begin + self.sizes[k] + slack))
+            distance = edit_distance_within(self.texts[k], joined[span].decode("utf-8", "ignore"), most)
+            if distance is not None and distance < found.get((t, k), most + 1):
+                found[t, k] = distance
+
 
 def _item_groups(benchmark: DataFrame, item_id: str, raw_text: str, most_items: int, most_chars: int):
     """Items in groups of bounded rows and characters; each group is a pass over the documents."""
@@ -203,8 +321,11 @@ def contaminated(
     most (1 - ``similarity``) times the item's length. Item-sized windows are looked up by the CGK embedding (a random walk that
     maps edit distance to Hamming distance): in each of ``repetitions`` the walk starts at every word of the item-sized window, a
     fixed random set of its steps is sampled, and a window is a candidate when the samples of one of its words equal those of the
-    item at the same word. Candidates are verified by exact edit distance, so there is no false match. Items shorter than a walk
-    are matched word for word.
+    item at the same word. Walks miss short items, unspaced text and many edits, so a window is also a candidate when it holds an
+    intact seed of the item at any byte, with or without white space, and the bytes around it are near. The seed's length follows
+    from the item's: the longest that survives edits at the edge of the bound with a chance of 0.95; items under a walk have seeds that
+    no near copy lacks. Candidates are verified by exact edit distance, so there is no false match. Items whose bound is under two
+    edits are matched word for word.
 
     The index holds at most about ``most_items`` items and ``most_chars`` characters at a time; more items take more passes over
     the documents. Returns ``id``, ``digest``, ``item_id``, ``distance``, ``similarity``, one row per matching pair of record and

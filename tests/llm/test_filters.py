@@ -271,3 +271,32 @@ def test_page_query(spark, sf_dir):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         wanted = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
         assert got[r["page_id"]]["text"] == wanted and got[r["page_id"]]["n_chars"] == len(wanted)
+
+
+def test_piece_distances_equal_the_table():
+    rng = random.Random(4)
+    pieces, windows, wanted = np.zeros((200, 64), np.uint8), np.zeros((200, 100), np.uint8), []
+    for i in range(200):
+        piece = "".join(rng.choice("abc ") for _ in range(rng.randrange(5, 65)))
+        window = "".join(rng.choice("abc ") for _ in range(100))
+        if i % 2:
+            window = (window[:20] + edited(piece, 6, rng) + window)[:100]
+        pieces[i, 64 - len(piece) :], windows[i] = list(piece.encode()), list(window.encode())
+        wanted.append(edit_distance_to_part(piece, window))
+    assert decontaminate.piece_distances(pieces, windows).tolist() == wanted
+
+
+@pytest.mark.parametrize("size", [24, 34, 50, 90, 150, 300])
+def test_recall_at_the_edge_of_the_bound(size):
+    rng = random.Random(size)
+    items = [(k, "".join(rng.choice("abcdefghijklmnoprstu      ") for _ in range(size)).strip().replace("  ", " x")) for k in range(40)]
+    index = decontaminate.ItemIndex(items, 0.8, 3, 7)
+    texts, inside = [], []
+    for k in range(40):
+        plain, chars = index.texts[k], list(index.texts[k])
+        for p in rng.sample(range(len(chars)), int(0.19 * len(chars))):
+            chars[p] = rng.choice(["", "z", chars[p] + "q"])
+        texts.append(decontaminate._plain(spoken("en", 40, k) + " " + "".join(chars) + " " + spoken("en", 30, k)))
+        inside.append(edit_distance_to_part(plain, texts[-1]) <= index.most[k])
+    found = index.matches(texts)
+    assert sum(inside) > 25 and np.mean([(k, k) in found for k in range(40) if inside[k]]) >= 0.9
