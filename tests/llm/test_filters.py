@@ -300,3 +300,16 @@ def test_recall_at_the_edge_of_the_bound(size):
         inside.append(edit_distance_to_part(plain, texts[-1]) <= index.most[k])
     found = index.matches(texts)
     assert sum(inside) > 25 and np.mean([(k, k) in found for k in range(40) if inside[k]]) >= 0.9
+
+
+def test_items_inside_unspaced_text_are_found():
+    rng = random.Random(8)
+    for alphabet in ("一二三大学水火木金土日月山川田人", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        def run(n):
+            return "".join(rng.choice(alphabet) for _ in range(n))
+
+        items = [(k, run(60)) for k in range(10)]
+        texts = [run(200) + t + run(300) for _, t in items] + [run(90) + edited(t, 6, rng) + run(90) for _, t in items] + [run(500)]
+        found = decontaminate.ItemIndex(items, 0.8, 3, 7).matches(texts)
+        assert {(k, k) for k in range(10)} | {(10 + k, k) for k in range(10)} == set(found)
+        assert all(found[k, k] == 0 for k in range(10))
