@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chunks, decontaminate, language, pages, quality, simhash, suffixes, surrogates, toxicity
+from millrace.llm import bpe, chunks, decontaminate, language, pages, pieces, quality, simhash, suffixes, surrogates, toxicity
 
 # The key under which surrogates are drawn; a user sets a secret one.
 SURROGATE_KEY = "millrace"
@@ -101,3 +101,11 @@ def op2_quality_rules(spark, sf_dir):
     judged = quality.judge_quality(documents_of(spark, sf_dir), raw_text="text", file_id="doc_id")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(F.col("id").alias("doc_id"), *base, F.round("posterior", 6).alias("posterior"), "kept")
+
+
+@query
+def op13_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    coded = pieces.encode_pieces(documents_of(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), raw_text="text", file_id="doc_id")
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -173,4 +173,4 @@ def test_stages_of_an_empty_table(spark, sf_dir):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
