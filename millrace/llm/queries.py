@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chunks, decontaminate, language, pages, pieces, quality, simhash, suffixes, surrogates, toxicity
+from millrace.llm import bpe, chunks, decontaminate, language, pages, periodic, pieces, quality, simhash, suffixes, surrogates, toxicity
 
 # The key under which surrogates are drawn; a user sets a secret one.
 SURROGATE_KEY = "millrace"
@@ -109,3 +109,31 @@ def op13_sentencepiece(spark, sf_dir):
 
     coded = pieces.encode_pieces(documents_of(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), raw_text="text", file_id="doc_id")
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """Documents of which a tenth has its words from some place on repeated with some period, both drawn from the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    drawn = documents.select("doc_id", "text", (F.floor(h / 10)).alias("g"), (h % 10 == 0).alias("planted"))
+    words = F.when(F.col("planted"), F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    cut = drawn.withColumn("words", words).withColumn("n", F.size("words"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    moved = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    text = F.when(F.col("planted") & (F.col("n") > 0), F.array_join(moved, " ")).otherwise(F.col("text"))
+    return cut.select("doc_id", text.alias("text"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(with_planted_periods(documents_of(spark, sf_dir)), raw_text="text", file_id="doc_id")
+    # Runs are in order of start, then period; the first of the greatest exponents is taken.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(told, "\n"), F.lit("\n"))).otherwise("")
+    found = found.withColumn("best", best)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
