@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chunks, decontaminate, language, pages, periodic, pieces, quality, simhash, suffixes, surrogates, toxicity
+from millrace.llm import bpe, chunks, decontaminate, language, pages, periodic, pieces, prefixes, quality, simhash, suffixes, surrogates, toxicity
 
 # The key under which surrogates are drawn; a user sets a secret one.
 SURROGATE_KEY = "millrace"
@@ -137,3 +137,68 @@ def op11_periodic_runs(spark, sf_dir):
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def rebuilt_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered turns in which every conversation begins with the first turns of the one that opens its hundred, and all ids."""
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    plan = sizes.select("conv_id", (F.crc32(F.col("conv_id").cast("string")) % 6).alias("h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("opens"))
+    openers = sizes.select(F.col("conv_id").alias("opens"), F.col("n").alias("held"))
+    plan = plan.join(openers, "opens", "left").withColumn("given", F.least("h", F.coalesce("held", F.lit(0))))
+    first = turns.filter("position < 5").withColumnRenamed("conv_id", "opens")
+    given = plan.join(first, "opens").filter(F.col("position") < F.col("given")).select("conv_id", "position", "turn_id")
+    own = turns.join(plan, "conv_id").filter(F.col("position") >= F.col("h"))
+    own = own.select("conv_id", (F.col("position") - F.col("h") + F.col("given")).alias("position"), "turn_id")
+    return given.unionByName(own), sizes.select("conv_id")
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = prefixes.prefix_trie(*rebuilt_conversations(prefixes.number_turns(conversations)))
+    return found.withColumnRenamed("saved_chars", "saved_tokens").withColumnRenamed("ends", "ends_sha256")
+
+
+SQL["op12_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (
+  SELECT conv_id, count(*) AS n,
+    -- CRC-32 of the decimal id: every byte is followed by eight steps of one bit.
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 6 AS h
+  FROM turns GROUP BY conv_id
+), planned AS (
+  SELECT s.conv_id, s.h, s.conv_id - s.conv_id % 100 AS opens, least(s.h, coalesce(o.n, 0)) AS given
+  FROM sizes s LEFT JOIN sizes o ON o.conv_id = s.conv_id - s.conv_id % 100
+), rebuilt AS (
+  SELECT p.conv_id, t.place, t.role, t.text FROM planned p JOIN turns t ON t.conv_id = p.opens AND t.place < p.given
+  UNION ALL
+  SELECT p.conv_id, t.place - p.h + p.given, t.role, t.text FROM planned p JOIN turns t ON t.conv_id = p.conv_id AND t.place >= p.h
+), whole AS (
+  SELECT p.conv_id, coalesce(r.ids, []) AS ids, coalesce(r.chars, []) AS chars, len(coalesce(r.ids, [])) AS n
+  FROM planned p LEFT JOIN (
+    SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY place) AS ids, list(length(text) ORDER BY place) AS chars FROM rebuilt GROUP BY conv_id
+  ) r USING (conv_id)
+), steps AS (
+  SELECT conv_id, n, d AS depth, sha256(array_to_string(ids[1:d], '')) AS path, CASE WHEN d > 0 THEN sha256(array_to_string(ids[1:d - 1], '')) END AS above,
+    CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars
+  FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT depth, path, above, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS leaf, (count(*) - 1) * max(chars) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends
+  FROM steps GROUP BY depth, path, above
+), below AS (
+  -- Every node under every node on the path of its smallest member.
+  SELECT s.depth, s.path, sum(x.saved) AS saved, sum(x.leaf::INT) AS leaves
+  FROM nodes x JOIN steps s ON s.conv_id = x.conv_id AND s.depth <= x.depth GROUP BY s.depth, s.path
+), children AS (
+  SELECT depth - 1 AS depth, above AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN below b ON b.depth = n.depth AND b.path = n.path
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.above
+LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path
+"""
