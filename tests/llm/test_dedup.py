@@ -256,3 +256,47 @@ def test_pipeline_stage_takes_spread_edits(spark, records):
     base = prose(400, 77)
     docs = records([(1, base), (2, edited(base, 6, 1)), (3, prose(400, 78))]).selectExpr("fileId AS doc_id", "raw_text AS text")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_counters_on_bit_planes_equal_counted_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    bits = (rng.random((200, 160)) < rng.random((200, 1))).astype(np.uint8)
+    planes = nearcopies._lanes(bits)
+    for radius in (0, 1, 15, 39, 64, 127, 160):
+        over = nearcopies.far(lambda b: planes[b], 160, planes.shape[1:], radius)
+        assert (np.unpackbits(over.view(np.uint8), bitorder="little")[:200] == (bits.sum(axis=1) > radius)).all()
+
+
+def test_a_bucket_links_what_brute_force_links():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    draws = nearcopies._draws(42)
+    base = rng.integers(0, 1 << 63, 200, np.uint64)
+    sets = []
+    for _ in range(120):
+        held = base.copy()
+        held[rng.random(200) < rng.random() * 0.3] = 0
+        sets.append(np.unique(np.concatenate([held, rng.integers(0, 1 << 63, 5, np.uint64)])))
+    bits = nearcopies._sketch(np.array([nearcopies.minima(s, draws) for s in sets]))
+    bucket, asking, links = nearcopies._Bucket(0.8), 90, []
+    bucket.ask(list(range(asking)), list(range(asking)), sets[:asking], bits[:asking])
+    links += bucket.compare(list(range(asking)), list(range(asking)), sets[:asking], bits[:asking])
+    links += bucket.compare(list(range(asking, 120)), list(range(asking, 120)), sets[asking:], bits[asking:])
+    assert len(links) < 120
+
+    def near(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+
+    def groups(pairs):
+        root = list(range(120))
+        for _ in range(120):
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert groups(links) == groups([(i, j) for i in range(120) for j in range(asking) if i != j and near(i, j)])
+    assert all(near(i, j) for i, j in links)
