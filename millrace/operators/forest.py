@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.values import quoted
 from millrace.operators.order_stats import exact_quantiles
+from millrace.operators.trees import from_nodes
 
 SAMPLE_ROWS = 256
 _NODES = "tree int, node int, feature int, cut double, left int, right int, path double"
@@ -65,38 +66,94 @@ class IsolationForest:
     nodes: pd.DataFrame
 
     def score(self, df: DataFrame, output: str = "anomaly_score") -> DataFrame:
-        """Anomaly score in (0, 1) per row, higher is stranger; Arrow batches, no shuffle."""
-        nodes = self.nodes.sort_values(["tree", "node"])
-        sizes = nodes.groupby("tree")["node"].count().to_numpy()
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        shift = np.repeat(starts, sizes)
-        feature = nodes["feature"].to_numpy()
-        cut = nodes["cut"].to_numpy()
-        # A leaf points at itself, so that walking on from it changes nothing.
-        at = np.arange(len(nodes))
-        left = np.where(feature >= 0, nodes["left"].to_numpy() + shift, at)
-        right = np.where(feature >= 0, nodes["right"].to_numpy() + shift, at)
-        path = nodes["path"].to_numpy()
-        column = np.maximum(feature, 0)
+        """Anomaly score in (0, 1) per row, higher is stranger; all trees of a block of rows are walked together, no shuffle."""
         depth = math.ceil(math.log2(max(self.sample_rows, 2)))
-        norm = average_path(self.sample_rows) or 1.0
-        roots = starts
+        paths = from_nodes(self.nodes.rename(columns={"path": "value"}), np.ones(self.nodes["tree"].nunique()), depth)
+        norm, trees = average_path(self.sample_rows) or 1.0, len(paths.roots)
 
         @F.pandas_udf("double")
         def walk(*values: pd.Series) -> pd.Series:
             x = np.column_stack([v.to_numpy(dtype="float64") for v in values])
-            rows = np.arange(len(x))
-            total = np.zeros(len(x))
-            for root in roots:
-                node = np.full(len(x), root)
-                for _ in range(depth):
-                    node = np.where(x[rows, column[node]] <= cut[node], left[node], right[node])
-                total += path[node]
-            return pd.Series(np.exp2(-total / len(roots) / norm))
+            return pd.Series(np.exp2(-paths.predict(x) / trees / norm))
 
         return df.withColumn(output, walk(*[quoted(c).cast("double") for c in self.features]))
 
 
+def _dealt(batch: pd.DataFrame, columns: list[str], trees: int, share: float, seed: int) -> pd.DataFrame:
+    """(tree, draw, features) of the copies that a tree may draw.
+
+    A vector stands for ``copies`` rows, each with a draw of its own in each tree; those under ``share`` are wanted. Their number is
+    binomial over all its (row, tree) cells: small ones by inversion of the uniform number that let the vector pass, large ones by a
+    generator seeded by the vector. Which cells they are is drawn without replacement, so trees and copies are treated alike.
+    """
+    cells = batch["copies"].to_numpy(dtype=np.int64) * trees
+    u, luck = batch["u"].to_numpy(), batch["luck"].to_numpy(dtype=np.int64).view(np.uint64)
+    expected = cells * share
+    hits = np.zeros(len(batch), np.int64)
+    low = np.flatnonzero((expected <= 20) & (share < 1))
+    if len(low):
+        n = cells[low].astype(float)
+        mass = np.exp(n * np.log1p(-share))
+        reached, open_ = np.zeros(len(low)), np.ones(len(low), bool)
+        k = 0
+        while open_.any() and k < 400:
+            mass = mass * np.maximum(n - k, 0) / (k + 1) * (share / (1 - share))
+            k += 1
+            reached += mass
+            hits[low[open_]] = k
+            open_ &= (reached <= u[low]) & (k < n)
+    row, cell, draw = [], [], []
+    one = np.flatnonzero(hits == 1)
+    if len(one):
+        # The common case: a single cell, from the vector's second hash alone.
+        row.append(one)
+        cell.append((luck[one] >> np.uint64(20)).astype(np.int64) % cells[one])
+        draw.append(((luck[one] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53))
+    for i in np.flatnonzero(hits != 1).tolist():
+        rng = np.random.default_rng([seed, int(luck[i])])
+        n = int(cells[i])
+        many = n if share >= 1 else int(hits[i]) or int(rng.binomial(n, share))
+        row.append(np.full(many, i))
+        cell.append(np.arange(n) if many == n else rng.choice(n, many, replace=False))
+        draw.append(rng.random(many))
+    if not row:
+        return pd.DataFrame({"tree": np.zeros(0, np.int32), "draw": np.zeros(0), **{c: np.zeros(0) for c in columns}})
+    rows = np.concatenate(row)
+    found = batch[columns].iloc[rows].reset_index(drop=True)
+    found.insert(0, "draw", np.concatenate(draw) * share)
+    found.insert(0, "tree", (np.concatenate(cell) % trees).astype(np.int32))
+    return found
+
+
+def draw_samples(df: DataFrame, features: Sequence[str], trees: int, size: int, total: int, seed: int = 42, id_col: str | None = None) -> DataFrame:
+    """(``tree``, ``draw``, ``f0``, ``f1`` ...): a uniform sample of ``size`` rows without replacement for each tree.
+
+    Equal rows are counted first; the rest works on vectors with their counts, so a vector with a third of all rows fills about a third
+    of each sample. One hash decides whether a vector is drawn at all, and all draws depend on its values (and the id), not on the
+    partitioning. A tree has about twice ``size`` candidates, of which the smallest draws win.
+    """
+    columns = [f"f{i}" for i in range(len(features))]
+    named = [quoted(c).cast("double").alias(f) for c, f in zip(features, columns)]
+    known = [quoted(id_col).cast("string").alias("id")] if id_col else []
+    keys = [*columns, *(["id"] if id_col else [])]
+    share = 1.0 if total <= 4 * size else 2.0 * size / total
+    counted = df.select(*named, *known).groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / float(2**53)
+    some = F.lit(1.0) if share >= 1 else -F.expm1(F.col("copies") * trees * F.lit(math.log1p(-share)))
+    passed = counted.withColumns({"u": bits, "luck": F.xxhash64(*keys, F.lit(seed), F.lit(1))}).where(F.col("u") < some)
+
+    def deal(batches):
+        for batch in batches:
+            if len(batch):
+                yield _dealt(batch, columns, trees, share, seed)
+
+    schema = ", ".join(["tree int", "draw double", *[f"{c} double" for c in columns]])
+    candidates = passed.select(*columns, "copies", "u", "luck").mapInPandas(deal, schema)
+    # A tree's candidates are about twice its sample, whatever the table holds.
+    first = Window.partitionBy("tree").orderBy("draw", *columns)
+    return candidates.withColumn("place", F.row_number().over(first)).where(F.col("place") <= size).drop("place")
+
+
 def fit_forest(
     df: DataFrame,
     features: Sequence[str],
@@ -105,39 +162,20 @@ def fit_forest(
     id_col: str | None = None,
     sample_rows: int = SAMPLE_ROWS,
 ) -> IsolationForest:
-    """Grow ``trees`` trees on up to 256 distinct rows each.
+    """Grow ``trees`` trees on up to 256 rows each, drawn by :func:`draw_samples`.
 
-    A row enters the candidates of a tree when its own draw falls under a threshold set for twice
-    the sample; the smallest draws win. One pass serves all trees and only candidates are shuffled.
-    The draw is a hash of (id, tree), or without ``id_col`` of (features, tree), the same under any
-    partitioning; rows with equal features then draw alike. The node table is collected once, so scoring uses one fixed forest.
+    The trees grow in parallel tasks; the node table (at most trees x 511 rows) is collected once, so scoring uses one fixed forest.
     """
     total = df.count()
     size = min(sample_rows, total)
-    share = 1.0 if total <= 4 * size else 2.0 * size / total
-    span = float(2**53)
-
-    def draw(tree: int):
-        named = [id_col] if id_col else list(features)
-        bits = F.shiftrightunsigned(F.xxhash64(*[quoted(c) for c in named], F.lit(seed), F.lit(tree)), 11)
-        return bits.cast("double") / span
-
-    hits = F.filter(
-        F.array(*[F.struct(F.lit(t).alias("tree"), draw(t).alias("draw")) for t in range(trees)]),
-        lambda h: h["draw"] < share,
-    )
-    columns = [quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
-    candidates = df.select(*columns, hits.alias("hits")).select("*", F.inline("hits")).drop("hits")
-    first = Window.partitionBy("tree").orderBy("draw")
-    sample = candidates.withColumn("place", F.row_number().over(first)).where(F.col("place") <= size).drop("place")
+    sample = draw_samples(df, features, trees, size, total, seed, id_col)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("draw")
         rows = ordered[[f"f{i}" for i in range(len(features))]].to_numpy()
         return _grow(int(ordered["tree"].iloc[0]), rows, seed)
 
-    nodes = sample.groupBy("tree").applyInPandas(grow, _NODES).toPandas()  # at most trees x 511 rows
-    return IsolationForest(tuple(features), size, nodes)
+    return IsolationForest(tuple(features), size, sample.groupBy("tree").applyInPandas(grow, _NODES).toPandas())
 
 
 def flag_outliers(

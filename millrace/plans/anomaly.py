@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from millrace.functions.values import log_ratio
 from millrace.operators import forest, hygiene, metrics
 from millrace.operators.clusters import assemble
+from millrace.operators.trees import fit_trees
 
 # Context of the expected volume and the detector's settings.
 CONTEXT = (
@@ -42,7 +43,7 @@ def residual_features(
     ready = assemble(dummies, columns).persist()
     if regressor is None:
         data = ready.select("features", F.col(target).cast("double").alias("label"))
-        regressor = GBTRegressor(maxIter=max_iter, maxDepth=5, stepSize=0.1, seed=42).fit(data)
+        regressor = fit_trees(data, maxIter=max_iter, maxDepth=5, stepSize=0.1, seed=42)
     expected, actual = F.col("prediction"), F.col(target).cast("double")
     out = regressor.transform(ready).withColumns({
         "sales_residual": actual - expected, "sales_log_ratio": log_ratio(actual, expected),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark import inheritable_thread_target
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from millrace.operators import hygiene, metrics
 from millrace.operators.clusters import assemble
 from millrace.operators.lagging import panel_features
 from millrace.operators.matrix import RidgeModel, column_facts, pooled_ridge, standardise
+from millrace.operators.trees import fit_trees, from_boosted, predict_staged
 
 # Pooled model settings, hard gates and search grids.
 RIDGE_ALPHA = 10.0
@@ -65,7 +68,7 @@ def training_folds(
 
 def _boosted(train: DataFrame, features: Sequence[str], target: str, params: dict) -> GBTRegressionModel:
     data = assemble(train.select(*features, F.col(target).cast("double").alias("label")), features)
-    return GBTRegressor(**params).fit(data.select("features", "label"))
+    return fit_trees(data.select("features", "label"), **params)
 
 
 def _predict_boosted(model: GBTRegressionModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -136,22 +139,34 @@ def ridge_grid(
 
 
 def tree_grid(
-    train: DataFrame, valid: DataFrame, features: Sequence[str], target: str, grid: dict[str, Sequence] | None = None
+    train: DataFrame, valid: DataFrame, features: Sequence[str], target: str, grid: dict[str, Sequence] | None = None, pool: int = 4
 ) -> DataFrame:
-    """Validation metrics per boosted configuration, best R2 first. The fold is fixed; each fit is a Spark job."""
+    """Validation metrics per boosted configuration, best R2 first; the fold is fixed.
+
+    Boosting adds trees one by one, so the model of the most rounds holds those of all others: configurations that differ in
+    ``maxIter`` alone share one fit, and one pass over the validation rows gives the predictions of every stage. Up to ``pool`` fits
+    share the cluster at a time.
+    """
     grid = grid or TREE_GRID
+    stages = sorted(grid.get("maxIter", (20,)))
+    others = {k: v for k, v in grid.items() if k != "maxIter"}
     data = assemble(train.select(*features, F.col(target).cast("double").alias("label")), features).select("features", "label").persist()
-    check = assemble(valid.select(*features, F.col(target).cast("double").alias("y")), features).select("features", "y").persist()
-    spark, rows = train.sparkSession, []
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values))
-        model = GBTRegressor(seed=42, **params).fit(data)
-        out = model.transform(check).withColumn("prediction", F.greatest(F.lit(0.0), "prediction"))
-        m = metrics.demand_metrics(out, "y", "prediction").first()
-        rows.append((*[float(v) for v in values], m["rmspe"], m["mae"], m["rmse"], m["r2"]))
+    check = valid.select(*features, F.col(target).cast("double").alias("y")).persist()
+    spark = train.sparkSession
+
+    def judge(values: tuple) -> list[tuple]:
+        params = dict(zip(others, values))
+        ensemble = from_boosted(fit_trees(data, seed=42, maxIter=stages[-1], **params), spark)
+        staged = predict_staged(check, ensemble, features, stages, ["y"])
+        long = staged.select("y", F.posexplode("stages").alias("stage", "prediction")).withColumn("prediction", F.greatest(F.lit(0.0), "prediction"))
+        found = metrics.demand_metrics(long, "y", "prediction", ["stage"]).collect()
+        return [(*[float({**params, "maxIter": stages[m["stage"]]}[k]) for k in names[:-4]], m["rmspe"], m["mae"], m["rmse"], m["r2"]) for m in found]
+
+    names = [*others, "maxIter", "rmspe", "mae", "rmse", "r2"]
+    with ThreadPool(pool) as threads:
+        rows = [r for part in threads.map(inheritable_thread_target(spark)(judge), list(product(*others.values()))) for r in part]
     data.unpersist()
     check.unpersist()
-    names = [*grid, "rmspe", "mae", "rmse", "r2"]
     return spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).orderBy(F.desc("r2"))
 
 

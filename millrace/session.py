@@ -27,13 +27,8 @@ def local_session(cores: int | str = 8, app: str = "millrace") -> SparkSession:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that lost executors do not lose the rows.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without it gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +37,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
             folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder, so that lost executors do not lose the rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
