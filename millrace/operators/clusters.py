@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -15,9 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.forest import draw_samples
+
 CANDIDATES = (2, 3, 4, 5, 6)
 FALLBACK_K = 4
 SILHOUETTE_MIN = 0.40
+_REPLICATES, _T95 = 8, 2.365
 
 
 def assemble(df: DataFrame, features: Sequence[str], output: str = "features") -> DataFrame:
@@ -92,38 +96,115 @@ def squared_silhouette(df: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(df)
 
 
+@dataclass(frozen=True)
+class Silhouette:
+    """Mean Euclidean silhouette of all rows with its 95 % interval; exact when both ends are the value."""
+
+    value: float
+    low: float
+    high: float
+
+    def decides(self, limit: float) -> bool:
+        return not self.low < limit <= self.high
+
+
+def _against_samples(df: DataFrame, sizes: dict[int, int], rows: int, seed: int) -> Silhouette:
+    names = sorted(sizes)
+    dims = len(df.first()["features"])
+    flat = df.select(vector_to_array("features").alias("x"), "cluster")
+    wide = flat.select(*[F.col("x")[i].alias(f"x{i}") for i in range(dims)], "cluster")
+    held = draw_samples(wide, [f"x{i}" for i in range(dims)], _REPLICATES, rows, sizes, seed, group="cluster").toPandas()
+    points = held[[f"f{i}" for i in range(dims)]].to_numpy()
+    place = held["tree"].to_numpy() * len(names) + np.searchsorted(names, held["group"].to_numpy())
+    # Sums of distances per (replicate, cluster), by one product.
+    member = np.zeros((len(held), _REPLICATES * len(names)))
+    member[np.arange(len(held)), place] = 1.0
+    counts = member.sum(axis=0).reshape(_REPLICATES, len(names))
+    full = np.array([sizes[c] for c in names], dtype=float)
+    norms = (points**2).sum(axis=1)
+
+    def widths(sums: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        line, mean = np.arange(len(own)), sums / n
+        # A sample may hold the row itself, as its cluster does: the mean over the others follows from the mean over all.
+        inner = mean[line, own] * full[own] / np.maximum(full[own] - 1, 1)
+        mean[line, own] = np.inf
+        outer = mean.min(axis=1)
+        top = np.maximum(inner, outer)
+        return np.where((full[own] > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1.0), 0.0)
+
+    def score(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                part = batch.iloc[a : a + 1024]
+                x, own = np.stack(part["x"].to_numpy()), np.searchsorted(names, part["cluster"].to_numpy())
+                gap = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ points.T, 0.0))
+                sums = (gap @ member).reshape(len(x), _REPLICATES, len(names))
+                found = [widths(sums.sum(axis=1), counts.sum(axis=0), own)] + [widths(sums[:, g], counts[g], own) for g in range(_REPLICATES)]
+                yield pd.DataFrame([[float(w.sum()) for w in found]], columns=[f"w{g}" for g in range(_REPLICATES + 1)])
+
+    schema = ", ".join(f"w{g} double" for g in range(_REPLICATES + 1))
+    row = flat.mapInPandas(score, schema).agg(*[F.sum(f"w{g}").alias(f"w{g}") for g in range(_REPLICATES + 1)]).first()
+    value, *others = np.array(list(row)) / full.sum()
+    # Student's t for one less than the number of replicates.
+    reach = 0.0 if rows >= max(sizes.values()) else _T95 * float(np.std(others, ddof=1)) / _REPLICATES**0.5
+    return Silhouette(float(value), float(value - reach), float(value + reach))
+
+
+def silhouette(df: DataFrame, limit: float | None = None, rows: int = 32, most: int = 4096, seed: int = 42) -> Silhouette | None:
+    """Mean Euclidean silhouette of all rows of ``features`` and ``cluster``, and its interval.
+
+    Every row meets a sample of each cluster (``rows`` rows in each of eight replicates, drawn by counted vectors) in an Arrow batch, so no
+    pairs are written and nothing but the samples is sent around. The replicates give the interval. While it holds ``limit`` the samples
+    are doubled, up to ``most`` rows a replicate; samples that hold every row are exact. None with fewer than two clusters.
+    """
+    sizes = {int(r["cluster"]): int(r["count"]) for r in df.groupBy("cluster").count().collect()}  # one row per cluster
+    if len(sizes) < 2:
+        return None
+    while True:
+        found = _against_samples(df, sizes, rows, seed)
+        if limit is None or found.decides(limit) or rows >= max(sizes.values()) or 2 * rows > most:
+            return found
+        rows *= 2
+
+
 def choose_k(
     fit: DataFrame, rows: int, id_col: str | None = None, seed: int = 42, sample_rows: int | None = None
-) -> tuple[int, str, dict[int, float], KMeansModel]:
+) -> tuple[int, str, dict[int, float], KMeansModel, dict[int, Silhouette]]:
     """Best silhouette over K = 2..6 when it reaches 0.40, else 4; under 20 rows K is clamped.
 
-    The silhouette is the squared Euclidean one of all rows; ``sample_rows`` asks for the Euclidean one of a sample instead.
+    The silhouette is the Euclidean one of all rows (:func:`silhouette`), whose samples are doubled for the best K until the interval
+    leaves 0.40 out; ``sample_rows`` asks for that of a sample of rows instead. The last value holds the intervals.
     """
     if rows < 20:
         k = max(2, min(4, max(1, rows - 1)))
-        return k, "fallback_default", {}, kmeans(fit, k, seed)
+        return k, "fallback_default", {}, kmeans(fit, k, seed), {}
     held = None
     if sample_rows:
         sample = hash_sample(fit.select("features", *([id_col] if id_col else [])), min(sample_rows, rows), id_col, seed)
         held = sample.sparkSession.createDataFrame(sample.toPandas(), sample.schema)  # at most sample_rows rows
     tried = [k for k in CANDIDATES if k < rows]
 
-    def attempt(k: int) -> tuple[KMeansModel, float | None]:
+    def attempt(k: int) -> tuple[KMeansModel, float | None, Silhouette | None]:
         model = kmeans(fit, k, seed)
         if held is not None:
-            return model, euclidean_silhouette(model.transform(held))
-        # Fewer clusters than asked for have no silhouette.
-        return model, squared_silhouette(model.transform(fit)) if len({tuple(c) for c in model.clusterCenters()}) > 1 else None
+            return model, euclidean_silhouette(model.transform(held)), None
+        found = silhouette(model.transform(fit), seed=seed)
+        return model, None if found is None else found.value, found
 
     # The fits do not depend on each other; their jobs share the cluster, as in MLlib's own tuning.
     with ThreadPool(len(tried)) as pool:
         outcomes = dict(zip(tried, pool.map(inheritable_thread_target(fit.sparkSession)(attempt), tried)))
-    models = {k: model for k, (model, _) in outcomes.items()}
-    scores = {k: round(score, 4) for k, (_, score) in outcomes.items() if score is not None}
-    best = max(scores, key=lambda k: (scores[k], -k), default=None)
+    models = {k: o[0] for k, o in outcomes.items()}
+    scores = {k: o[1] for k, o in outcomes.items() if o[1] is not None}
+    spans = {k: o[2] for k, o in outcomes.items() if o[2] is not None}
+    best = max(scores, key=lambda k: (round(scores[k], 4), -k), default=None)
+    if best in spans and not spans[best].decides(SILHOUETTE_MIN):
+        spans[best] = silhouette(models[best].transform(fit), SILHOUETTE_MIN, 64, seed=seed)
+        scores[best] = spans[best].value
+    scores = {k: round(v, 4) for k, v in scores.items()}
     if best is not None and scores[best] >= SILHOUETTE_MIN:
-        return best, "data_driven_silhouette", scores, models[best]
-    return FALLBACK_K, "fallback_default", scores, models[FALLBACK_K]
+        return best, "data_driven_silhouette", scores, models[best], spans
+    return FALLBACK_K, "fallback_default", scores, models[FALLBACK_K], spans
 
 
 def project_2d(fit: DataFrame, df: DataFrame) -> tuple[DataFrame, list[float]]:

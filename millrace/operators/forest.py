@@ -79,7 +79,7 @@ class IsolationForest:
         return df.withColumn(output, walk(*[quoted(c).cast("double") for c in self.features]))
 
 
-def _dealt(batch: pd.DataFrame, columns: list[str], trees: int, share: float, seed: int) -> pd.DataFrame:
+def _dealt(batch: pd.DataFrame, columns: list[str], trees: int, share: float | np.ndarray, seed: int) -> pd.DataFrame:
     """(tree, draw, features) of the copies that a tree may draw.
 
     A vector stands for ``copies`` rows, each with a draw of its own in each tree; those under ``share`` are wanted. Their number is
@@ -87,17 +87,18 @@ def _dealt(batch: pd.DataFrame, columns: list[str], trees: int, share: float, se
     generator seeded by the vector. Which cells they are is drawn without replacement, so trees and copies are treated alike.
     """
     cells = batch["copies"].to_numpy(dtype=np.int64) * trees
+    share = np.broadcast_to(np.asarray(share, dtype=float), len(batch))
     u, luck = batch["u"].to_numpy(), batch["luck"].to_numpy(dtype=np.int64).view(np.uint64)
     expected = cells * share
     hits = np.zeros(len(batch), np.int64)
     low = np.flatnonzero((expected <= 20) & (share < 1))
     if len(low):
-        n = cells[low].astype(float)
-        mass = np.exp(n * np.log1p(-share))
+        n, odds = cells[low].astype(float), share[low] / (1 - share[low])
+        mass = np.exp(n * np.log1p(-share[low]))
         reached, open_ = np.zeros(len(low)), np.ones(len(low), bool)
         k = 0
         while open_.any() and k < 400:
-            mass = mass * np.maximum(n - k, 0) / (k + 1) * (share / (1 - share))
+            mass = mass * np.maximum(n - k, 0) / (k + 1) * odds
             k += 1
             reached += mass
             hits[low[open_]] = k
@@ -112,7 +113,7 @@ def _dealt(batch: pd.DataFrame, columns: list[str], trees: int, share: float, se
     for i in np.flatnonzero(hits != 1).tolist():
         rng = np.random.default_rng([seed, int(luck[i])])
         n = int(cells[i])
-        many = n if share >= 1 else int(hits[i]) or int(rng.binomial(n, share))
+        many = n if share[i] >= 1 else int(hits[i]) or int(rng.binomial(n, share[i]))
         row.append(np.full(many, i))
         cell.append(np.arange(n) if many == n else rng.choice(n, many, replace=False))
         draw.append(rng.random(many))
@@ -120,38 +121,49 @@ def _dealt(batch: pd.DataFrame, columns: list[str], trees: int, share: float, se
         return pd.DataFrame({"tree": np.zeros(0, np.int32), "draw": np.zeros(0), **{c: np.zeros(0) for c in columns}})
     rows = np.concatenate(row)
     found = batch[columns].iloc[rows].reset_index(drop=True)
-    found.insert(0, "draw", np.concatenate(draw) * share)
+    found.insert(0, "draw", np.concatenate(draw) * share[rows])
     found.insert(0, "tree", (np.concatenate(cell) % trees).astype(np.int32))
     return found
 
 
-def draw_samples(df: DataFrame, features: Sequence[str], trees: int, size: int, total: int, seed: int = 42, id_col: str | None = None) -> DataFrame:
+def draw_samples(
+    df: DataFrame, features: Sequence[str], trees: int, size: int, total: int | dict, seed: int = 42, id_col: str | None = None,
+    group: str | None = None,
+) -> DataFrame:
     """(``tree``, ``draw``, ``f0``, ``f1`` ...): a uniform sample of ``size`` rows without replacement for each tree.
 
     Equal rows are counted first; the rest works on vectors with their counts, so a vector with a third of all rows fills about a third
     of each sample. One hash decides whether a vector is drawn at all, and all draws depend on its values (and the id), not on the
-    partitioning. A tree has about twice ``size`` candidates, of which the smallest draws win.
+    partitioning. A tree has about twice ``size`` candidates, of which the smallest draws win. With ``group``, an integer column, every
+    group has samples of its own (column ``group``), and ``total`` gives the rows of each.
     """
     columns = [f"f{i}" for i in range(len(features))]
     named = [quoted(c).cast("double").alias(f) for c, f in zip(features, columns)]
-    known = [quoted(id_col).cast("string").alias("id")] if id_col else []
-    keys = [*columns, *(["id"] if id_col else [])]
-    share = 1.0 if total <= 4 * size else 2.0 * size / total
+    known = ([quoted(id_col).cast("string").alias("id")] if id_col else []) + [(quoted(group) if group else F.lit(0)).cast("int").alias("group")]
+    keys = [*columns, *(["id"] if id_col else []), "group"]
+    totals = total if group else {0: total}
+    shares = {g: 1.0 if n <= 4 * size else 2.0 * size / n for g, n in totals.items()}
     counted = df.select(*named, *known).groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / float(2**53)
-    some = F.lit(1.0) if share >= 1 else -F.expm1(F.col("copies") * trees * F.lit(math.log1p(-share)))
-    passed = counted.withColumns({"u": bits, "luck": F.xxhash64(*keys, F.lit(seed), F.lit(1))}).where(F.col("u") < some)
+    # Beside an id the values only tell rows that share it apart; as floats they are free of the noise of sums in another order.
+    told = [F.col("group"), *([F.col("id"), *[F.col(c).cast("float") for c in columns]] if id_col else [F.col(c) for c in columns])]
+    bits = F.shiftrightunsigned(F.xxhash64(*told, F.lit(seed)), 11).cast("double") / float(2**53)
+    some = F.lit(1.0)
+    for g, share in shares.items():
+        if share < 1:
+            some = F.when(F.col("group") == g, -F.expm1(F.col("copies") * trees * F.lit(math.log1p(-share)))).otherwise(some)
+    passed = counted.withColumns({"u": bits, "luck": F.xxhash64(*told, F.lit(seed), F.lit(1))}).where(F.col("u") < some)
 
     def deal(batches):
         for batch in batches:
             if len(batch):
-                yield _dealt(batch, columns, trees, share, seed)
+                yield _dealt(batch, [*columns, "group"], trees, batch["group"].map(shares).to_numpy(dtype=float), seed)
 
-    schema = ", ".join(["tree int", "draw double", *[f"{c} double" for c in columns]])
-    candidates = passed.select(*columns, "copies", "u", "luck").mapInPandas(deal, schema)
+    schema = ", ".join(["tree int", "draw double", *[f"{c} double" for c in columns], "group int"])
+    candidates = passed.select(*columns, "group", "copies", "u", "luck").mapInPandas(deal, schema)
     # A tree's candidates are about twice its sample, whatever the table holds.
-    first = Window.partitionBy("tree").orderBy("draw", *columns)
-    return candidates.withColumn("place", F.row_number().over(first)).where(F.col("place") <= size).drop("place")
+    first = Window.partitionBy("group", "tree").orderBy("draw", *columns)
+    placed = candidates.withColumn("place", F.row_number().over(first)).where(F.col("place") <= size).drop("place")
+    return placed if group else placed.drop("group")
 
 
 def fit_forest(

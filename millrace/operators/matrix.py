@@ -11,13 +11,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.values import quoted, rounded
 
 SKEW_LIMIT = 1.5
-_BATCH = 200
+# Variance (of standardised values) under which a column counts as constant over the rows of a pair.
+_LEAST_SPREAD = 1e-20
 
 
 @dataclass(frozen=True)
@@ -99,54 +101,82 @@ def standardise(df: DataFrame, facts: dict[str, ColumnFacts]) -> DataFrame:
     ])
 
 
-def product_means(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float]:
-    """Mean of x * y for many column pairs; batches keep the generated code compilable."""
-    out: list[float] = []
-    for start in range(0, len(pairs), _BATCH):
-        chunk = pairs[start:start + _BATCH]
-        row = df.agg(*[F.avg(quoted(a) * quoted(b)).alias(f"p{i}") for i, (a, b) in enumerate(chunk)]).first()
-        out += [row[f"p{i}"] for i in range(len(chunk))]
-    return out
+@dataclass(frozen=True)
+class PairMoments:
+    """Sums over the rows in which both columns of a pair are present, of standardised values: number, value, square, product."""
+
+    n: np.ndarray
+    value: np.ndarray
+    square: np.ndarray
+    product: np.ndarray
+
+    def correlations(self) -> np.ndarray:
+        """Pearson correlations; NaN where a pair has no common row or a column does not vary over them."""
+        n = np.where(self.n > 0, self.n, 1.0)
+        spread = self.square - self.value**2 / n
+        whole = (self.n > 0) & (spread > _LEAST_SPREAD * n) & (spread.T > _LEAST_SPREAD * n)
+        shared = self.product - self.value * self.value.T / n
+        return np.where(whole, shared / np.sqrt(np.where(whole, spread * spread.T, 1.0)), np.nan)
+
+
+def pair_moments(df: DataFrame, columns: Sequence[str], facts: dict[str, ColumnFacts]) -> PairMoments:
+    """Moments of all column pairs in one scan, whatever their number.
+
+    Each task multiplies its Arrow batches, with masks for missing values, to partial matrices; their rows are added up by column, so no
+    task and not the driver holds more than one matrix of columns by columns. Values are standardised first, so large means don't cancel.
+    """
+    names, size = list(columns), len(columns)
+    mean, scale = (np.array([x or 0.0 for x in xs]) for xs in ([facts[c].mean for c in names], [facts[c].scale for c in names]))
+    view = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    schema = "at int, n array<double>, value array<double>, square array<double>, product array<double>"
+    parts = ("n", "value", "square", "product")
+
+    def rows(sums: dict[int, list[np.ndarray]]):
+        if sums:
+            columns_ = [pa.array(list(sums), pa.int32())]
+            columns_ += [pa.array([held[k] for held in sums.values()], pa.list_(pa.float64())) for k in range(len(parts))]
+            yield pa.RecordBatch.from_arrays(columns_, names=["at", *parts])
+
+    def multiply(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            here = ~np.isnan(x)
+            z, mask = np.where(here, (x - mean) / scale, 0.0), here.astype(float)
+            found = [mask.T @ mask, z.T @ mask, (z * z).T @ mask, z.T @ z]
+            total = found if total is None else [t + f for t, f in zip(total, found)]
+        if total is not None:
+            yield from rows({i: [t[i] for t in total] for i in range(size)})
+
+    def add(batches):
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, i in enumerate(batch.column(0).to_pylist()):
+                found = [batch.column(j + 1)[k].values.to_numpy() for j in range(len(parts))]
+                sums[i] = [a + b for a, b in zip(sums[i], found)] if i in sums else found
+        yield from rows(sums)
+
+    held = view.mapInArrow(multiply, schema).repartition("at").mapInArrow(add, schema).collect()  # one row per column
+    out = [np.zeros((size, size)) for _ in parts]
+    for r in held:
+        for k, part in enumerate(parts):
+            out[k][r["at"]] = r[part]
+    return PairMoments(*out)
 
 
 def correlation_frame(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> tuple[DataFrame, bool]:
     """Long (x, y, value) Pearson matrix of all columns, or of the ``limit`` most variable ones; truncated?
 
-    Pairs are compared over the rows where both are present; undefined correlations are 0. Columns
-    without NULLs share their standardisation, so a pair costs one product; only pairs with a NULL
-    in either column take the full covariance form.
+    Pairs are compared over the rows where both are present; undefined correlations are 0. Two scans serve any number of columns.
     """
     facts = column_facts(df, columns)
     chosen = list(columns)
     truncated = limit is not None and len(chosen) > limit
     if truncated:
         chosen = sorted(columns, key=lambda c: (-facts[c].variance, columns.index(c)))[:limit]
-    rows = max((f.n for f in facts.values()), default=0)
-    total = rows if all(facts[c].n == rows for c in chosen) else df.count()
-    whole = [c for c in chosen if facts[c].n == total]
-    r: dict[tuple[str, str], float | None] = {}
-    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i:]]
-    fast = [(a, b) for a, b in pairs if a in whole and b in whole]
-    scaled = standardise(df.select(*[quoted(c) for c in whole]), {c: facts[c] for c in whole}) if whole else None
-    if fast:
-        r |= dict(zip(fast, product_means(scaled, fast)))
-        r |= {(a, b): None for a, b in fast if not facts[a].sd_pop or not facts[b].sd_pop}
-    gappy = [p for p in pairs if p not in r]
-    for start in range(0, len(gappy), _BATCH // 4):
-        chunk = gappy[start:start + _BATCH // 4]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = quoted(a).cast("double"), quoted(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-            aggs.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"p{i}"))
-        row = df.agg(*aggs).first()
-        r |= {p: row[f"p{i}"] for i, p in enumerate(chunk)}
-    cells = []
-    for a in chosen:
-        for b in chosen:
-            v = r.get((a, b), r.get((b, a)))
-            cells.append((a, b, round(min(1.0, max(-1.0, v)), 4) + 0.0 if v is not None and not math.isnan(v) else 0.0))
+    found = pair_moments(df, chosen, facts).correlations()
+    found = np.where(np.isnan(found), 0.0, np.round(np.clip(found, -1.0, 1.0), 4)) + 0.0
+    cells = [(a, b, float(found[i, j])) for i, a in enumerate(chosen) for j, b in enumerate(chosen)]
     return df.sparkSession.createDataFrame(cells, "x string, y string, value double"), truncated
 
 
@@ -172,13 +202,9 @@ def pooled_ridge(
     names = list(features)
     facts = column_facts(df, [*names, target])
     n = facts[target].n
-    scaled = standardise(df.select(*[quoted(c) for c in [*names, target]]), {
-        **{c: facts[c] for c in names}, target: facts[target],
-    })
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]] + [(a, target) for a in names]
-    means = dict(zip(pairs, product_means(scaled, pairs)))
-    gram = np.array([[means.get((a, b), means.get((b, a))) for b in names] for a in names])
-    right = np.array([means[(a, target)] for a in names]) * facts[target].scale
+    moments = pair_moments(df, [*names, target], facts)
+    means = moments.product / np.where(moments.n > 0, moments.n, 1.0)
+    gram, right = means[:-1, :-1], means[:-1, -1] * facts[target].scale
     models = {}
     for alpha in alphas:
         beta = np.linalg.solve(gram + np.eye(len(names)) * alpha / n, right)

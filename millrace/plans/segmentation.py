@@ -91,6 +91,7 @@ class SegmentReport:
     model: KMeansModel
     forest: forest.IsolationForest
     id_col: str | None
+    intervals: dict[int, clusters.Silhouette] = field(default_factory=dict)
     notes: list[str] = field(default_factory=list)
 
     def outlier_records(self, n: int = frames.MAX_RECORDS, keys: Sequence[str] = ()) -> DataFrame:
@@ -127,7 +128,7 @@ def run_segmentation(
     fit_rows = clusters.hash_sample(narrow, fit_cap, feats.id_col, seed) if sampled else narrow
     facts = matrix.column_facts(fit_rows, feats.columns)
     fit = clusters.assemble(matrix.standardise(fit_rows, facts), feats.columns).persist()
-    k, method, scores, model = clusters.choose_k(fit, fit_cap if sampled else rows, feats.id_col, seed, sample_rows)
+    k, method, scores, model, spans = clusters.choose_k(fit, fit_cap if sampled else rows, feats.id_col, seed, sample_rows)
     grown = forest.fit_forest(fit, feats.columns, trees, seed, feats.id_col)
     fit_scores = grown.score(fit).select("anomaly_score").persist()
     _, cut = forest.flag_outliers(fit_scores, contamination)
@@ -139,7 +140,7 @@ def run_segmentation(
     for frame in (fit_scores, narrow, fit):
         frame.unpersist()
     return SegmentReport(
-        k, method, scores, feats.names, feats.transformed, correlation, truncated, scored, cut, explained, model, grown, feats.id_col
+        k, method, scores, feats.names, feats.transformed, correlation, truncated, scored, cut, explained, model, grown, feats.id_col, spans
     )
 
 
@@ -156,7 +157,8 @@ def cluster_job(
 ) -> ClusterJob:
     """Fixed-feature K-Means and projection with a quality report.
 
-    The gate uses the squared Euclidean silhouette of all rows, or the Euclidean one of ``sample_rows`` rows when asked for.
+    The gate uses the Euclidean silhouette of all rows, whose samples are doubled until its interval leaves the gate out, or that of
+    ``sample_rows`` rows when asked for (then without an interval). The squared one of all rows is reported beside it.
     """
     missing = [c for c in features if c not in df.columns]
     if missing:
@@ -176,12 +178,16 @@ def cluster_job(
     flat, explained = clusters.project_2d(scaled, scaled)
     assigned = model.transform(flat)
     squared = clusters.squared_silhouette(assigned)
-    sampled = clusters.euclidean_silhouette(clusters.hash_sample(assigned, sample_rows, id_col, seed)) if sample_rows else None
-    judged = squared if sampled is None else sampled
+    if sample_rows:
+        value = clusters.euclidean_silhouette(clusters.hash_sample(assigned, sample_rows, id_col, seed))
+        found = None if value is None else clusters.Silhouette(value, None, None)
+    else:
+        found = clusters.silhouette(assigned.select("features", "cluster"), silhouette_gate, seed=seed)
+    value, low, high = (None, None, None) if found is None else (found.value, found.low, found.high)
     first, second = explained[0], explained[1] if len(explained) > 1 else 0.0
     report = df.sparkSession.createDataFrame(
-        [(k, sampled, squared, first, second, first + second, bool(judged >= silhouette_gate), bool(first + second >= variance_gate))],
-        "k int, silhouette double, silhouette_squared double, variance_1 double, variance_2 double, variance_2d double,"
+        [(k, value, low, high, squared, first, second, first + second, value is not None and value >= silhouette_gate, bool(first + second >= variance_gate))],
+        "k int, silhouette double, silhouette_low double, silhouette_high double, silhouette_squared double, variance_1 double, variance_2 double, variance_2d double,"
         " silhouette_ok boolean, variance_ok boolean",
     )
     out = assigned.withColumn("cluster", clusters.centroid_order(model)).drop("features", *columns)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from millrace.operators import forest, trees
+from millrace.operators import clusters, forest, matrix, roles, trees
 from millrace.operators.clusters import assemble
 from millrace.plans import forecast as fc
 from millrace.plans import panel_training as pt
@@ -105,3 +105,56 @@ def test_sample_sizes_are_binomial():
     sizes = found.groupby("f0").size().reindex(np.arange(20_000.0), fill_value=0)
     assert abs(sizes.var() / (60 * 0.02 * 0.98) - 1) < 0.05 and found["draw"].between(0, 0.02).all()
     assert found["tree"].value_counts().between(2150, 2650).all()
+
+
+def brute_silhouette(x, labels):
+    gap, widths = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), []
+    for i in range(len(x)):
+        means = {c: gap[i, (labels == c) & (np.arange(len(x)) != i)] for c in set(labels)}
+        if not len(means[labels[i]]):
+            widths.append(0.0)
+            continue
+        a, b = means[labels[i]].mean(), min(m.mean() for c, m in means.items() if c != labels[i])
+        widths.append((b - a) / max(a, b))
+    return float(np.mean(widths))
+
+
+def test_silhouette_is_exact_on_small_and_near_on_large_tables(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 1.0, size=(n, 3)) for c, n in ((0, 500), (2.2, 300), (6, 1))])
+    x[:120] = x[0]  # equal rows count as rows
+    labels = np.repeat([0, 3, 7], [500, 300, 1])
+    frame = assemble(spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(cluster=labels)), list("abc")).select("features", "cluster").persist()
+    truth = brute_silhouette(x, labels)
+    exact = clusters.silhouette(frame, rows=512)
+    assert exact.value == pytest.approx(truth, abs=1e-6) and exact.low == exact.high == exact.value
+    rough = clusters.silhouette(frame)
+    assert abs(rough.value - truth) < 0.03 and rough.low < rough.value < rough.high and rough.high - rough.low < 0.12
+    # A limit at the very value forces doubling until the samples hold every row.
+    assert clusters.silhouette(frame, limit=truth + 1e-4).value == pytest.approx(truth, abs=1e-2)
+    assert clusters.silhouette(frame.where("cluster = 0")) is None
+
+
+def test_pair_sums_with_missing_values_equal_a_test_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 40)) * 100, 2)
+    y = x[:, 4] + x[:, 31]
+    x[:, 12] = np.where(rng.random(400) < 0.5, np.nan, y - x[:, 20])
+    x[:, 33] = y - x[:, 20] + (np.arange(400) == 399)  # one row breaks it
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(40)]).assign(y=y)
+    pdf["c39"] = [1.0] * 3 + [None] * 397  # never more than three common rows
+    df = spark.createDataFrame(pdf).repartition(4)
+    assert roles.pair_sum_hits(df, "y", [f"c{i}" for i in range(40)]) == [("c4", "c31"), ("c12", "c20")]
+    assert roles.pair_sum_hits(df.limit(0), "y", ["c1", "c2"]) == [] and roles.pair_sum_hits(df, "y", ["c1"]) == []
+
+
+def test_pairwise_moments_of_many_columns_with_gaps(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 60)) + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7], x[:, 8] = 5.0, np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)])
+    got, _ = matrix.correlation_frame(spark.createDataFrame(pdf).repartition(3), list(pdf.columns))
+    want = pdf.corr().fillna(0.0)
+    for r in got.collect():
+        assert r["value"] == pytest.approx(want.loc[r["x"], r["y"]], abs=1e-4)
