@@ -100,9 +100,9 @@ def pooled_gates(spark, sf_dir):
 
 @query()
 def boosted_grid(spark, sf_dir):
-    """A small boosted-tree grid on the fixed time split."""
+    """The settings of depth 3 and step 0.1 of the boosted-tree grid, all four lengths from one fit of 300 trees."""
     train, valid, features = pt.training_folds(store_days(spark, sf_dir))
-    return shown(pt.tree_grid(train, valid, features, "units_sold", {"maxDepth": (2, 3), "maxIter": (5, 10), "stepSize": (0.1,)}))
+    return shown(pt.tree_grid(train, valid, features, "units_sold", {**pt.TREE_GRID, "maxDepth": (3,), "stepSize": (0.1,)}))
 
 
 @query()
