@@ -266,3 +266,28 @@ def time_split_folds(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.count_distinct("date").alias("dates"), F.min("date").alias("first_date"),
         F.max("date").alias("last_date"), F.sum("units_sold").alias("units"),
     ))
+
+
+@query("""WITH days AS (
+  SELECT s_nationkey AS store_id, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS units, avg(CASE WHEN l_discount > 0.02 THEN l_discount END) AS promo
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
+SELECT store_id, strftime(date, '%Y-%m-%d') AS date, round(lag(units, 1) OVER w, 4) AS lag_1, round(lag(promo, 1) OVER w, 4) AS x_promo_lag1
+FROM days WINDOW w AS (PARTITION BY store_id ORDER BY date)""")
+def exogenous_lag(spark, sf_dir):
+    """An input column with missing values, one period back, beside the lag of the target."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_discount")
+    joined = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    days = joined.groupBy(F.col("s_nationkey").alias("store_id"), F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.sum("l_quantity").alias("units"), F.avg(F.when(F.col("l_discount") > 0.02, F.col("l_discount"))).alias("promo"),
+    )
+    found = lagging.series_features(days, "units", "D", [1], [], ["promo"], keys=["store_id"], period="date")
+    return shown(found.select("store_id", "date", "lag_1", "x_promo_lag1"))
+
+
+@query(f"""WITH {PANEL_SQL}
+SELECT store_id, count(*) AS days, round(avg(units_sold), 4) AS mean_units FROM panel WHERE dayofweek(date) <> 0 GROUP BY store_id""")
+def trading_day_means(spark, sf_dir):
+    """Mean units of the days on which a store trades: all but Sundays."""
+    days = store_days(spark, sf_dir).withColumn("Open", (F.weekday("date") != 6).cast("int"))
+    open_days = retail.trading_days(days).groupBy("store_id")
+    return shown(open_days.agg(F.count(F.lit(1)).alias("days"), F.avg("units_sold").alias("mean_units")))
