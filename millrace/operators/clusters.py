@@ -114,12 +114,12 @@ def _against_samples(df: DataFrame, sizes: dict[int, int], rows: int, seed: int)
     flat = df.select(vector_to_array("features").alias("x"), "cluster")
     wide = flat.select(*[F.col("x")[i].alias(f"x{i}") for i in range(dims)], "cluster")
     held = draw_samples(wide, [f"x{i}" for i in range(dims)], _REPLICATES, rows, sizes, seed, group="cluster").toPandas()
-    points = held[[f"f{i}" for i in range(dims)]].to_numpy()
+    # In order of (replicate, cluster), so that the sums of distances of each are sums of neighbours.
     place = held["tree"].to_numpy() * len(names) + np.searchsorted(names, held["group"].to_numpy())
-    # Sums of distances per (replicate, cluster), by one product.
-    member = np.zeros((len(held), _REPLICATES * len(names)))
-    member[np.arange(len(held)), place] = 1.0
-    counts = member.sum(axis=0).reshape(_REPLICATES, len(names))
+    order = np.argsort(place, kind="stable")
+    points = held[[f"f{i}" for i in range(dims)]].to_numpy()[order]
+    starts = np.searchsorted(place[order], np.arange(_REPLICATES * len(names)))
+    counts = np.diff(np.append(starts, len(points))).astype(float).reshape(_REPLICATES, len(names))
     full = np.array([sizes[c] for c in names], dtype=float)
     norms = (points**2).sum(axis=1)
 
@@ -137,8 +137,10 @@ def _against_samples(df: DataFrame, sizes: dict[int, int], rows: int, seed: int)
             for a in range(0, len(batch), 1024):
                 part = batch.iloc[a : a + 1024]
                 x, own = np.stack(part["x"].to_numpy()), np.searchsorted(names, part["cluster"].to_numpy())
-                gap = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ points.T, 0.0))
-                sums = (gap @ member).reshape(len(x), _REPLICATES, len(names))
+                gap = x @ (-2 * points.T)
+                gap += (x**2).sum(axis=1)[:, None] + norms[None, :]
+                np.sqrt(np.maximum(gap, 0.0, out=gap), out=gap)
+                sums = np.add.reduceat(gap, starts, axis=1).reshape(len(x), _REPLICATES, len(names))
                 found = [widths(sums.sum(axis=1), counts.sum(axis=0), own)] + [widths(sums[:, g], counts[g], own) for g in range(_REPLICATES)]
                 yield pd.DataFrame([[float(w.sum()) for w in found]], columns=[f"w{g}" for g in range(_REPLICATES + 1)])
 
