@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.forest import draw_samples
 
+# The starts are drawn from a sample of this many rows; all rows decide where the centres go.
+START_ROWS = 4096
 CANDIDATES = (2, 3, 4, 5, 6)
 FALLBACK_K = 4
 SILHOUETTE_MIN = 0.40
@@ -35,7 +37,107 @@ def kmeans(df: DataFrame, k: int, seed: int = 42, max_iter: int = 5, tol: float
     return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster").fit(df)
 
 
-def centroid_order(model: KMeansModel) -> Column:
+@dataclass(frozen=True)
+class Centres:
+    """Fitted cluster centres; ``transform`` adds ``cluster``, the place of the nearest one (the first on a tie)."""
+
+    points: tuple[tuple[float, ...], ...]
+    cost: float | None = None
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return [np.array(p) for p in self.points]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = F.col("_x")
+        gaps = [sum(((x[i] - v) * (x[i] - v) for i, v in enumerate(p)), F.lit(0.0)) for p in self.points]
+        held = df.withColumn("_x", vector_to_array("features")).withColumn("_gaps", F.array(*gaps))
+        return held.withColumn("cluster", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_x", "_gaps")
+
+
+def centre_sums(rows: DataFrame, sets: Sequence[np.ndarray]) -> DataFrame:
+    """``at`` (set), ``cluster``, ``n``, ``cost`` and ``total`` of the rows nearest to each centre of each set of centres.
+
+    ``rows`` has the array column ``x``. All sets share one scan: a task adds up its Arrow batches, and one row per set and centre
+    leaves it.
+    """
+    sizes = [len(c) for c in sets]
+    dims = sets[0].shape[1]
+
+    def add_up(batches):
+        n, cost = [np.zeros(k) for k in sizes], [np.zeros(k) for k in sizes]
+        total = [np.zeros((k, dims)) for k in sizes]
+        for batch in batches:
+            for a in range(0, len(batch), 8192):
+                x = np.stack(batch["x"].iloc[a : a + 8192].to_numpy())
+                for s, centres in enumerate(sets):
+                    gap = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+                    own = gap.argmin(axis=1)
+                    n[s] += np.bincount(own, minlength=sizes[s])
+                    cost[s] += np.bincount(own, gap[np.arange(len(x)), own], minlength=sizes[s])
+                    total[s] += np.stack([np.bincount(own, x[:, i], minlength=sizes[s]) for i in range(dims)], axis=1)
+        yield pd.DataFrame(
+            [(s, c, n[s][c], cost[s][c], total[s][c].tolist()) for s, k in enumerate(sizes) for c in range(k) if n[s][c]],
+            columns=["at", "cluster", "n", "cost", "total"],
+        )
+
+    parts = rows.mapInPandas(add_up, "at int, cluster int, n double, cost double, total array<double>")
+    return parts.groupBy("at", "cluster").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("total")[i]) for i in range(dims)]).alias("total")
+    )
+
+
+def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on a sample; fewer than ``k`` centres when the sample has fewer distinct rows."""
+    chosen = [sample[rng.integers(len(sample))]]
+    gap = ((sample - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and gap.sum() > 0:
+        chosen.append(sample[rng.choice(len(sample), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((sample - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def kmeans_of_starts(
+    df: DataFrame, ks: Sequence[int], starts: int = 1, seed: int = 42, max_iter: int = 5, tol: float = 0.05, start_rows: int = START_ROWS
+) -> dict[int, Centres]:
+    """The best of ``starts`` runs of Lloyd's iteration for every K, by the cost over all rows.
+
+    All runs of all K advance together, one scan an iteration, however many there are; a run ends when its centres move by a squared
+    distance of ``tol`` in all. The k-means++ starts come from a sample of ``start_rows`` rows drawn by counted vectors, so they do not depend on the
+    partitioning. A centre without rows stays where it is. The rows must have no missing value; an empty table is refused.
+    """
+    rows = df.select(vector_to_array("features").alias("x"))
+    size = df.count()
+    if not size:
+        raise ValueError("No rows to cluster.")
+    dims = len(df.first()["features"])
+    wide = rows.select(*[F.col("x")[i].alias(f"x{i}") for i in range(dims)])
+    drawn = draw_samples(wide, [f"x{i}" for i in range(dims)], 1, min(start_rows, size), size, seed).toPandas()
+    columns = [f"f{i}" for i in range(dims)]
+    sample = drawn.sort_values(["draw", *columns])[columns].to_numpy()
+    runs = [(k, s) for k in ks for s in range(starts)]
+    centres = [_first_centres(sample, k, np.random.default_rng([seed, k, s])) for k, s in runs]
+    moving = list(range(len(runs)))
+    for _ in range(max_iter):
+        found = centre_sums(rows, [centres[r] for r in moving]).collect()  # one row per run and centre
+        fresh = {r: centres[r].copy() for r in moving}
+        for f in found:
+            fresh[moving[f["at"]]][f["cluster"]] = np.array(f["total"]) / f["n"]
+        moved = {r: float(((fresh[r] - centres[r]) ** 2).sum()) for r in moving}
+        for r in moving:
+            centres[r] = fresh[r]
+        moving = [r for r in moving if moved[r] > tol]
+        if not moving:
+            break
+    costs: dict[int, float | None] = dict.fromkeys(range(len(runs)))
+    if starts > 1:
+        costs = dict.fromkeys(range(len(runs)), 0.0)
+        for f in centre_sums(rows, centres).collect():
+            costs[f["at"]] += f["cost"]
+    best = {k: min((r for r, (own, _) in enumerate(runs) if own == k), key=lambda r: (costs[r] or 0.0, r)) for k in ks}
+    return {k: Centres(tuple(tuple(map(float, c)) for c in centres[r]), costs[r]) for k, r in best.items()}
+
+
+def centroid_order(model: KMeansModel | Centres) -> Column:
     """Cluster number after sorting the centroids, so that numbering does not depend on the seed."""
     centers = [tuple(c) for c in model.clusterCenters()]
     rank = {old: new for new, old in enumerate(sorted(range(len(centers)), key=lambda i: centers[i]))}
@@ -171,7 +273,7 @@ def silhouette(df: DataFrame, limit: float | None = None, rows: int = 32, most:
 
 def choose_k(
     fit: DataFrame, rows: int, id_col: str | None = None, seed: int = 42, sample_rows: int | None = None
-) -> tuple[int, str, dict[int, float], KMeansModel, dict[int, Silhouette]]:
+) -> tuple[int, str, dict[int, float], Centres, dict[int, Silhouette]]:
     """Best silhouette over K = 2..6 when it reaches 0.40, else 4; under 20 rows K is clamped.
 
     The silhouette is the Euclidean one of all rows (:func:`silhouette`), whose samples are doubled for the best K until the interval
@@ -179,26 +281,25 @@ def choose_k(
     """
     if rows < 20:
         k = max(2, min(4, max(1, rows - 1)))
-        return k, "fallback_default", {}, kmeans(fit, k, seed), {}
+        return k, "fallback_default", {}, kmeans_of_starts(fit, [k], seed=seed)[k], {}
     held = None
     if sample_rows:
         sample = hash_sample(fit.select("features", *([id_col] if id_col else [])), min(sample_rows, rows), id_col, seed)
         held = sample.sparkSession.createDataFrame(sample.toPandas(), sample.schema)  # at most sample_rows rows
     tried = [k for k in CANDIDATES if k < rows]
+    models = kmeans_of_starts(fit, tried, seed=seed)
 
-    def attempt(k: int) -> tuple[KMeansModel, float | None, Silhouette | None]:
-        model = kmeans(fit, k, seed)
+    def judge(k: int) -> tuple[float | None, Silhouette | None]:
         if held is not None:
-            return model, euclidean_silhouette(model.transform(held)), None
-        found = silhouette(model.transform(fit), seed=seed)
-        return model, None if found is None else found.value, found
+            return euclidean_silhouette(models[k].transform(held)), None
+        found = silhouette(models[k].transform(fit), seed=seed)
+        return None if found is None else found.value, found
 
-    # The fits do not depend on each other; their jobs share the cluster, as in MLlib's own tuning.
+    # The evaluations do not depend on each other; their jobs share the cluster, as in MLlib's own tuning.
     with ThreadPool(len(tried)) as pool:
-        outcomes = dict(zip(tried, pool.map(inheritable_thread_target(fit.sparkSession)(attempt), tried)))
-    models = {k: o[0] for k, o in outcomes.items()}
-    scores = {k: o[1] for k, o in outcomes.items() if o[1] is not None}
-    spans = {k: o[2] for k, o in outcomes.items() if o[2] is not None}
+        outcomes = dict(zip(tried, pool.map(inheritable_thread_target(fit.sparkSession)(judge), tried)))
+    scores = {k: o[0] for k, o in outcomes.items() if o[0] is not None}
+    spans = {k: o[1] for k, o in outcomes.items() if o[1] is not None}
     best = max(scores, key=lambda k: (round(scores[k], 4), -k), default=None)
     if best in spans and not spans[best].decides(SILHOUETTE_MIN):
         spans[best] = silhouette(models[best].transform(fit), SILHOUETTE_MIN, 64, seed=seed)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +87,7 @@ class SegmentReport:
     scored: DataFrame
     cut: float
     explained: list[float]
-    model: KMeansModel
+    model: clusters.Centres
     forest: forest.IsolationForest
     id_col: str | None
     intervals: dict[int, clusters.Silhouette] = field(default_factory=dict)
@@ -148,14 +147,14 @@ def run_segmentation(
 class ClusterJob:
     clustered: DataFrame
     report: DataFrame
-    model: KMeansModel
+    model: clusters.Centres
 
 
 def cluster_job(
-    df: DataFrame, features: Sequence[str] = FIXED_FEATURES, k: int = 4, seed: int = 42,
+    df: DataFrame, features: Sequence[str] = FIXED_FEATURES, k: int = 4, seed: int = 42, starts: int = 10,
     silhouette_gate: float = 0.50, variance_gate: float = 0.60, id_col: str | None = None, sample_rows: int | None = None,
 ) -> ClusterJob:
-    """Fixed-feature K-Means and projection with a quality report.
+    """Fixed-feature K-Means (the best of ten starts) and projection with a quality report.
 
     The gate uses the Euclidean silhouette of all rows, whose samples are doubled until its interval leaves the gate out, or that of
     ``sample_rows`` rows when asked for (then without an interval). The squared one of all rows is reported beside it.
@@ -174,7 +173,7 @@ def cluster_job(
     raw = filled.withColumns({f"_z{i}": quoted(c).cast("double") for i, c in enumerate(features)})
     columns = [f"_z{i}" for i in range(len(features))]
     scaled = clusters.assemble(matrix.standardise(raw, {f"_z{i}": facts[c] for i, c in enumerate(features)}), columns).persist()
-    model = clusters.kmeans(scaled, k, seed, max_iter=300, tol=1e-4)
+    model = clusters.kmeans_of_starts(scaled, [k], starts, seed, max_iter=300, tol=1e-4)[k]
     flat, explained = clusters.project_2d(scaled, scaled)
     assigned = model.transform(flat)
     squared = clusters.squared_silhouette(assigned)

@@ -169,12 +169,56 @@ def parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
     return files.groupBy(_file_key().alias("file")).agg(F.count(F.lit(1)).alias("parquet_rows"))
 
 
+def _content_facts() -> list[Column]:
+    """What the content of a file (columns ``content`` and ``extension``) tells: the first broken rule and the header."""
+    fields, malformed = header_columns(F.col("content"), F.col("extension"))
+    delimited = F.col("extension").isin("csv", "tsv")
+    return [
+        _first_failure(content_rules()).alias("late"),
+        F.when(delimited, malformed).alias("malformed"),
+        F.when(delimited, fields).alias("fields"),
+    ]
+
+
+def _verdicts(facts: DataFrame, limits: Limits) -> DataFrame:
+    early = _first_failure([*name_rules(limits), mime_rule()])
+    last = _first_failure([
+        (_over(F.col("longest_line"), limits.line_bytes), 413, "line too long"),
+        (F.col("malformed"), 422, "malformed header"),
+        (_over(F.col("fields"), limits.columns), 422, "too many columns"),
+        ((F.col("extension") == "parquet") & _over(F.coalesce("parquet_rows", F.lit(0)), limits.parquet_rows), 413,
+         "too many Parquet rows"),
+    ])
+    # A content that no reader could hold in a cell is not vouched for.
+    unseen = F.when(F.col("length") > _CELL_BYTES, _verdict(202, "content not checked"))
+    verdict = F.coalesce(early, "late", last, unseen)
+    return facts.withColumn("verdict", verdict).select(
+        "path", "name", "extension", "length",
+        F.col("verdict").isNull().alias("accepted"),
+        F.coalesce(F.col("verdict.status"), F.lit(200)).alias("status"),
+        F.coalesce(F.col("verdict.reason"), F.lit("ok")).alias("reason"),
+        "parquet_rows",
+    )
+
+
+def judge(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The verdicts of :func:`audit` on file records that are already a frame (a manifest table, an upload queue).
+
+    ``files`` has ``path``, ``length``, ``content``, ``mime``, ``longest_line`` and ``parquet_rows``; the last three may be NULL. A
+    projection only: no row moves.
+    """
+    named = files.withColumn("name", file_name(F.col("path"))).withColumn("extension", extension(F.col("name")))
+    kept = ["path", "name", "extension", "length", "mime", "longest_line", "parquet_rows"]
+    return _verdicts(named.select(*kept, *_content_facts()), limits)
+
+
 def audit(
     spark: SparkSession, folder: str, manifest: DataFrame | None = None, limits: Limits = Limits()
 ) -> DataFrame:
     """(path, name, extension, length, accepted, status, reason) for every file under ``folder``.
 
-    ``manifest`` may give the declared MIME type per file name: (name, mime).
+    ``manifest`` may give the declared MIME type per file name: (name, mime). A file of over 2 GB that no other rule refuses is not
+    accepted: its content was not checked (status 202).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     read = files.select(_file_key().alias("file"), "path", "length")
@@ -185,36 +229,13 @@ def audit(
         listed = listed.join(manifest.select("name", "mime"), "name", "left")
     else:
         listed = listed.withColumn("mime", F.lit(None).cast("string"))
-    cheap = listed.withColumn("early", _first_failure([*name_rules(limits), mime_rule()]))
     # Oversized files are filtered by the listing itself, before any content is read.
     seen = files.where((F.col("length") > 0) & (F.col("length") <= min(limits.file_bytes or _CELL_BYTES, _CELL_BYTES))).select(
         _file_key().alias("file"), "content", extension(file_name(F.col("path"))).alias("extension")
     )
-    fields, malformed = header_columns(F.col("content"), F.col("extension"))
-    delimited = F.col("extension").isin("csv", "tsv")
-    checked = seen.select(
-        "file",
-        _first_failure(content_rules()).alias("late"),
-        F.when(delimited, malformed).alias("malformed"),
-        F.when(delimited, fields).alias("fields"),
-    )
     joined = (
-        cheap.join(checked, "file", "left")
+        listed.join(seen.select("file", *_content_facts()), "file", "left")
         .join(longest_lines(spark, folder), "file", "left")
         .join(parquet_rows(spark, folder), "file", "left")
     )
-    last = _first_failure([
-        (_over(F.col("longest_line"), limits.line_bytes), 413, "line too long"),
-        (F.col("malformed"), 422, "malformed header"),
-        (_over(F.col("fields"), limits.columns), 422, "too many columns"),
-        ((F.col("extension") == "parquet") & _over(F.coalesce("parquet_rows", F.lit(0)), limits.parquet_rows), 413,
-         "too many Parquet rows"),
-    ])
-    verdict = F.coalesce("early", "late", last)
-    return joined.select(
-        "path", "name", "extension", "length",
-        verdict.isNull().alias("accepted"),
-        F.coalesce(verdict["status"], F.lit(200)).alias("status"),
-        F.coalesce(verdict["reason"], F.lit("ok")).alias("reason"),
-        "parquet_rows",
-    )
+    return _verdicts(joined, limits)

@@ -58,6 +58,19 @@ def load_linear(path: str, spark):
     }
 
 
+def save_centres(model, path: str, spark) -> None:
+    """Cluster centres as a small Parquet table."""
+    rows = [(i, list(c), model.cost) for i, c in enumerate(model.points)]
+    spark.createDataFrame(rows, "cluster int, centre array<double>, cost double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_centres(path: str, spark):
+    from millrace.operators.clusters import Centres
+
+    rows = spark.read.parquet(path).orderBy("cluster").collect()
+    return Centres(tuple(tuple(r["centre"]) for r in rows), rows[0]["cost"])
+
+
 def save_forest(forest, path: str, spark) -> None:
     """The node table of an isolation forest with its feature names, as Parquet."""
     from millrace.operators.forest import _NODES
