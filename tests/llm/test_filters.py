@@ -313,3 +313,30 @@ def test_items_inside_unspaced_text_are_found():
         found = decontaminate.ItemIndex(items, 0.8, 3, 7).matches(texts)
         assert {(k, k) for k in range(10)} | {(10 + k, k) for k in range(10)} == set(found)
         assert all(found[k, k] == 0 for k in range(10))
+
+
+@pytest.mark.parametrize("html, kept", [
+    ('<div class="layout no-sidebar"><h1>Head</h1><p>story</p></div>', "Head story"),
+    ("<article><header><h1>Head</h1></header><p>body</p></article>", "Head body"),
+    ("<article><header>By a writer</header><p>body</p></article>", "body"),
+    ('<article><p>a</p><div class="share-price">12</div><div class="share-bar">x</div></article>', "a 12"),
+    ('<div class="site-header">x</div><p>a</p><ul id="commentList"><li>b</li></ul><div class="cookie-notice">c</div><p class="adSlot-2">d</p>', "a"),
+    ('<div class="sidebar-left">menu</div><div class="widget"><h1>T</h1><p>a long story of its own</p></div>', "T a long story of its own"),
+    ('<div class="comments"><h1>Replies</h1><p>a long reply of a reader</p></div><p>story</p>', "story"),
+    ('<div class="widget" aria-hidden="true"><h1>T</h1><p>a long hidden story</p></div><p>story</p>', "story"),
+    ('<div class="menu"><p>one two three four five</p></div><p>story</p>', "story"),
+])
+def test_names_of_parts_are_judged_as_wholes(html, kept):
+    lines = pages.page_lines(html)
+    marked = any(main and not out for _, main, out in lines)
+    assert " ".join(t for t, main, out in lines if not out and (main or not marked)) == kept
+
+
+def test_alignment_of_many_equal_lines_is_longest_and_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    found = pages.shared_lines([7] * 50_000 + [1], [2] + [7] * 49_990)
+    assert len(set(found)) == len(found) == 49_990 and found == sorted(found) and found[-1] < 50_000
+    assert tracemalloc.get_traced_memory()[1] < 100 * 2**20
+    tracemalloc.stop()
