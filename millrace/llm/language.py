@@ -70,26 +70,24 @@ class LanguageModels:
 
 def learn_languages(
     labelled: DataFrame, raw_text: str = "raw_text", language: str = "language", file_id: str = "fileId",
-    texts_per_language: int = 400, most_languages: int = 16,
+    texts_per_language: int = 400,
 ) -> LanguageModels:
     """Trigram models from a sample of labelled document records.
 
-    About ``texts_per_language`` texts of each of the ``most_languages`` commonest languages are drawn by a hash of the id (both
-    bounds are parameters; the sample is the only part that is bounded). Rows without a language, text or id are not drawn. Without
+    About ``texts_per_language`` texts of every language are drawn by a hash of the id (the bound is a parameter; the sample is the only
+    part that is bounded), so the draw does not depend on the partitioning. Rows without a language, text or id are not drawn. Without
     any labelled row there are no languages, and every text is undetermined.
     """
     rows = common.records(labelled, file_id, raw_text, label=language).filter(F.col("label").isNotNull() & (F.col("label") != ""))
-    found = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_languages).collect()
+    found = rows.groupBy("label").count().collect()  # one row per language
     names = sorted(r["label"] for r in found)
     totals = {r["label"]: r["count"] for r in found}
     if not names:
         return LanguageModels([], np.zeros((0, BUCKETS)))
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    limit: Column = F.lit(0)
-    for name in names:
-        share = min(1.0, 1.25 * texts_per_language / totals[name])
-        limit = F.when(F.col("label") == name, F.lit(int(share * 1_000_000))).otherwise(limit)
-    sample = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull() & (draw < limit)).limit(2 * texts_per_language * len(names))
+    shares = {name: min(1.0, 1.25 * texts_per_language / totals[name]) for name in names}
+    limit = F.create_map(*[F.lit(x) for name in names for x in (name, int(shares[name] * 1_000_000))])[F.col("label")]
+    sample = rows.filter(F.col("id").isNotNull() & F.col("text").isNotNull() & (draw < limit))
     counted = sample.select("text", "label").mapInArrow(_counts, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(names), BUCKETS))
     at = {name: i for i, name in enumerate(names)}

@@ -24,6 +24,22 @@ def models(spark):
     return language.learn_languages(spark.createDataFrame(rows, "fileId bigint, raw_text string, language string"))
 
 
+def test_every_language_has_a_model(spark):
+    def words(kind, seed):
+        rng, own = random.Random(seed), random.Random(1000 + kind).sample("abcdefghijklmnopqrstuvwxyz", 7)
+        return " ".join("".join(rng.choice(own) for _ in range(rng.randrange(2, 7))) for _ in range(60))
+
+    schema = "fileId bigint, raw_text string, language string"
+    rows = [(100 * k + i, words(k, 100 * k + i), f"l{k:02}") for k in range(24) for i in range(12)]
+    learnt = language.learn_languages(spark.createDataFrame(rows, schema).repartition(5), texts_per_language=400)
+    assert learnt.languages == [f"l{k:02}" for k in range(24)]
+    again = language.learn_languages(spark.createDataFrame(rows[::-1], schema).repartition(3), texts_per_language=400)
+    assert np.array_equal(learnt.logs, again.logs)
+    fresh = [(k, words(k, 9000 + k), f"l{k:02}") for k in range(24)]
+    found = {r["id"]: r["text_language"] for r in language.identify_language(spark.createDataFrame(fresh, schema), learnt).collect()}
+    assert found == {k: name for k, _, name in fresh}
+
+
 def test_language_held_out_and_edges(spark, models):
     rows = [(i, spoken(k, 30, 5000 + i), k) for i, k in enumerate(["en", "de", "el"] * 20)]
     found = {r["id"]: r for r in language.identify_language(spark.createDataFrame(rows, "fileId bigint, raw_text string, id string"), models).collect()}
