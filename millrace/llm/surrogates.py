@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.values import quoted
@@ -16,7 +16,20 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora"
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "г-н")
 OTHER_TITLES = ("Dr", "Prof")
 
-_TITLES = "|".join(sorted((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
+# The leading digits of telephone country codes (those of one and two digits; all others have three).
+COUNTRY_CODES = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
+def _any_of(titles) -> str:
+    return "|".join(sorted(titles, key=len, reverse=True))
+
+
+_TITLES = _any_of((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
+_TITLED = rf"(?:(?:{_TITLES})\.? )++"
+# A capitalised word of two letters or more; an apostrophe may stand inside, but a possessive ending is no part of it.
+_WORD = rf"\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’](?!s(?!\p{{L}})|(?:{_TITLES})(?!\p{{L}}))\p{{L}})++"
+_NAME = rf"{_WORD}(?:-[\p{{L}}\p{{M}}]++)*"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
@@ -25,13 +38,18 @@ PATTERNS = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9.])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
+    # The short form must hold a digit, since `a::b` is common in program text.
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[A-Fa-f:]*[0-9])(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![0-9A-Za-z:])",
     "phone": r"(?:(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ \-][0-9]{4})(?![0-9])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+)?",
+    "person": rf"(?<!\p{{L}}){_TITLED}{_NAME}(?: {_NAME})?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# In texts that name a person, every capitalised word may be a mention of that person without the title.
+_ANY_OR_WORD = rf"{_ANY}|(?:(?<![\p{{L}}\p{{N}}_]){_WORD}(?![^\s@]{{0,64}}@)(?![\p{{N}}_]))"
 # A text with none of these holds no entity; the test is much cheaper than the patterns.
-_SIGNS = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLES})\.? |[0-9a-f]{{32}}|sk-"
+_SIGNS = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLES})\.? |[0-9a-f]{{32}}|[0-9A-F]{{32}}|sk-|AKIA|gh[pousr]_|[A-Fa-f]:[A-Fa-f]"
 
+NAME_KINDS = ("family", "given_f", "given_m")
 _CONSONANTS = {"latin": "bcdfglmnprstvz", "cyrillic": "бвгдзклмнпрст"}
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 _ENDINGS = {
@@ -43,32 +61,43 @@ _ENDINGS = {
 
 def _kind(match: Column) -> Column:
     kind = F.when(F.contains(match, F.lit("@")), "email")
-    for name in ("secret", "ssn", "ip", "phone", "card", "iban"):
+    for name in ("secret", "ssn", "ip", "ipv6", "phone", "card", "iban"):
         kind = kind.when(match.rlike(rf"^(?:{PATTERNS[name]})$"), name)
-    return kind.otherwise("person")
+    return kind.when(match.rlike(rf"^{_TITLED}"), "person").otherwise("word")
 
 
 def _names(match: Column) -> Column:
-    return F.regexp_replace(match, rf"^(?:{_TITLES})\.? ", "")
+    return F.regexp_replace(match, rf"^{_TITLED}", "")
 
 
 def _canonical(match: Column, kind: Column) -> Column:
     """The form in which mentions of one entity agree: lower case; digits only for numbers; names without the title."""
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(match, "[^0-9]", ""))
+        F.when(kind.isin("card", "ssn"), F.regexp_replace(match, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(match, "[^0-9+]", ""))
         .when(kind == "iban", F.upper(F.regexp_replace(match, " ", "")))
         .when(kind == "person", F.lower(_names(match)))
-        .when(kind == "email", F.lower(match))
+        .when(kind.isin("email", "ipv6", "word"), F.lower(match))
         .otherwise(match)
     )
 
 
 def _gender(match: Column, kind: Column) -> Column:
-    def starts(titles):
-        return match.rlike(rf"^(?:{'|'.join(sorted(titles, key=len, reverse=True))})\.? ")
+    """The gender that the titles of a mention tell, else NULL."""
+    titles = F.regexp_extract(match, rf"^{_TITLED}", 0)
+
+    def holds(some):
+        return titles.rlike(rf"(?<!\p{{L}})(?:{_any_of(some)})(?!\p{{L}})")
 
-    by_name = F.when(F.lower(F.element_at(F.split(_names(match), " "), 1)).rlike("[aая]$"), "f").otherwise("m")
-    return F.when(kind == "person", F.when(starts(FEMALE_TITLES), "f").when(starts(MALE_TITLES), "m").otherwise(by_name))
+    return F.when(kind == "person", F.when(holds(FEMALE_TITLES), "f").when(holds(MALE_TITLES), "m"))
+
+
+def _name_parts(canonical: Column, gender: Column) -> Column:
+    """The parts of a name with their kinds: ``family`` for the last (or only) word, ``given_f`` or ``given_m`` before it."""
+    words = F.split(canonical, " ")
+    given = F.concat(F.lit("given_"), gender)
+    return F.flatten(F.transform(words, lambda w, i: F.transform(
+        F.split(w, "-"), lambda t: F.struct(F.when(i < F.size(words) - 1, given).otherwise("family").alias("kind"), t.alias("canonical")))))
 
 
 def _stream(key: str, *parts: Column, length: Column) -> Column:
@@ -110,87 +139,167 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(digits)), term), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _name(token: Column, given: Column, gender: Column, key: str, attempt: Column) -> Column:
-    """A made-up name in the script of the token; its ending tells the gender of a given name (and of a Cyrillic family name)."""
+def _iban_check(value: Column) -> Column:
+    """An account number modulo 97, its country and check digits moved to the end and its letters read as 10 to 35."""
+    moved = F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))
+
+    def add(rest, ch):
+        letter = F.ascii(ch) - 55
+        return F.when(ch.rlike("[0-9]"), (rest * 10 + ch.try_cast("int")) % 97).otherwise((rest * 100 + letter) % 97)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(moved)), lambda i: F.substring(moved, i, F.lit(1))), F.lit(0), add)
+
+
+def _letters(stream: Column, alphabet: str, count: Column, after: Column) -> Column:
+    """``count`` letters (or digits) drawn from the numbers of the stream behind position ``after``."""
+    return F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: _letter(alphabet, _number(stream, after + i))), "")).otherwise("")
+
+
+def _name(token: Column, kind: Column, key: str, attempt: Column) -> Column:
+    """A made-up name part in the script of the token; its ending tells the gender of a given name (and of a Cyrillic family name).
+
+    Later attempts draw longer names, so names do not run out.
+    """
     made = {}
-    stream = _stream(key, F.lit("name"), token, attempt.cast("string"), length=F.lit(24))
+    size = 6 + 2 * F.greatest(attempt - 1, F.lit(0))
+    stream = _stream(key, F.lit("name"), token, attempt.cast("string"), length=size + 2)
+
+    def syllables(consonants, vowels):
+        return lambda i: F.when(i % 2 == 1, _letter(consonants, _number(stream, i))).otherwise(_letter(vowels, _number(stream, i)))
+
     for script in ("latin", "cyrillic"):
-        stem = [_letter(_CONSONANTS[script] if i % 2 == 0 else _VOWELS[script], _number(stream, F.lit(i + 1))) for i in range(6)]
+        stem = F.array_join(F.transform(F.sequence(F.lit(1), size), syllables(_CONSONANTS[script], _VOWELS[script])), "")
 
-        def ending(kind, script=script):
-            return F.element_at(F.array(*map(F.lit, _ENDINGS[script, kind])), (_number(stream, F.lit(8)) % 4) + 1)
+        def ending(which, script=script):
+            return F.element_at(F.array(*map(F.lit, _ENDINGS[script, which])), (_number(stream, size + 2) % 4) + 1)
 
         family = F.when(token.rlike("(?:а|я)$"), ending("family_f")).otherwise(ending("n")) if script == "cyrillic" else ending("n")
-        end = F.when(given, F.when(gender == "f", ending("f")).otherwise(ending("m"))).otherwise(family)
-        made[script] = F.concat(*stem, end)
+        made[script] = F.concat(stem, F.when(kind == "given_f", ending("f")).when(kind == "given_m", ending("m")).otherwise(family))
     return F.when(token.rlike(r"\p{IsCyrillic}"), made["cyrillic"]).otherwise(made["latin"])
 
 
 def _surrogate(key: str) -> Column:
-    """Surrogate of (``kind``, ``canonical``, ``gender``, ``attempt``), in canonical form."""
+    """Surrogate of (``kind``, ``canonical``, ``attempt``), in canonical form.
+
+    From the fourth redraw on mail addresses and phone numbers grow by a character an attempt, since short ones can all be taken.
+    """
     kind, value, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
-    stream = _stream(key, kind, value, attempt.cast("string"), length=F.length(value))
+    stream = _stream(key, kind, value, attempt.cast("string"), length=F.length(value) + attempt)
+    more = F.greatest(attempt - 3, F.lit(0))
     plain = _class_preserving(value, stream)
     octets = F.concat_ws(".", *[((_number(stream, F.lit(i)) % 254) + 1).cast("string") for i in (1, 2, 3, 4)])
     # An address keeps its last label, so that it stays one of the same kind of network.
-    mail = F.concat(_class_preserving(F.regexp_extract(value, r"^(.*\.)", 1), stream), F.regexp_extract(value, r"([^.]*)$", 1))
+    mail = F.concat(_letters(stream, "abcdefghijklmnopqrstuvwxyz", more, F.length(value)), _class_preserving(F.regexp_extract(value, r"^(.*\.)", 1), stream), F.regexp_extract(value, r"([^.]*)$", 1))
     body = F.substring(plain, F.lit(1), F.length(plain) - 1)
     check = (10 - _luhn_sum(F.concat(body, F.lit("0")))) % 10
     card = F.when(_luhn_sum(value) == 0, F.concat(body, check.cast("string"))).otherwise(plain)
-    iban = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
+    account = F.substring(plain, F.lit(5), F.length(plain))
+    checked = F.lpad((98 - _iban_check(F.concat(F.substring(value, 1, 2), F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(value, 1, 2), F.when(_iban_check(value) == 1, checked).otherwise(F.substring(plain, 3, 2)), account)
+    country = F.regexp_extract(value, rf"^\+(?:{COUNTRY_CODES}|[0-9]{{3}})", 0)
+    national = _class_preserving(F.substring(value, F.length(country) + 1, F.length(value)), stream)
+    phone = F.concat(country, national, _letters(stream, "0123456789", more, F.length(value)))
     secret = F.when(value.rlike("^[0-9a-f]+$"), _class_preserving(value, stream, ("abcdef", "ABCDEF"))).when(
         value.rlike("^[0-9A-F]+$"), _class_preserving(value, stream, ("abcdef", "ABCDEF"))
     ).otherwise(F.concat(F.substring(value, 1, 3), F.substring(plain, F.lit(4), F.length(plain))))
-    tokens = F.split(value, " ")
-    person = F.array_join(F.transform(tokens, lambda t, i: _name(t, i < F.size(tokens) - 1, F.col("gender"), key, attempt)), " ")
     return (
         F.when(kind == "ip", octets).when(kind == "email", mail).when(kind == "card", card).when(kind == "iban", iban)
-        .when(kind == "secret", secret).when(kind == "person", person).otherwise(plain)
+        .when(kind == "secret", secret).when(kind == "phone", phone)
+        .when(kind == "ipv6", _class_preserving(value, stream, ("abcdef", "ABCDEF")))
+        .when(kind.isin(*NAME_KINDS), _name(value, kind, key, attempt)).otherwise(plain)
     )
 
 
+def _cased(word: Column, surrogate: Column) -> Column:
+    """A name part in the case of the word it stands for."""
+    capital = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate)))
+    return F.when(word == F.upper(word), F.upper(surrogate)).when(word.rlike(r"^\p{Lu}"), capital).otherwise(surrogate)
+
+
+def _written_name(mention: Column, surrogates: Column) -> Column:
+    """A titled mention with the parts of its name replaced; titles, blanks and hyphens stay."""
+    names = _names(mention)
+    gaps = F.concat(F.regexp_extract_all(names, F.lit("[ \\-]"), 0), F.array(F.lit("")))
+    parts = F.zip_with(F.split(names, "[ \\-]"), surrogates, _cased)
+    return F.concat(F.regexp_extract(mention, rf"^{_TITLED}", 0), F.array_join(F.zip_with(parts, gaps, lambda part, gap: F.concat(part, gap)), ""))
+
+
 def _written(mention: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of the mention: its separators, title and case."""
+    """The surrogate in the format of the mention: its separators and case; digits beyond its own stand at its end."""
 
-    def overlay(pattern):
+    def overlay(pattern, plain):
         def one(i):
             ch = F.substring(mention, i, F.lit(1))
             at = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), pattern, ""))
-            return F.when(ch.rlike(pattern), ch).otherwise(F.substring(surrogate, at, F.lit(1)))
+            return F.when(ch.rlike(pattern), ch).otherwise(F.substring(plain, at, F.lit(1)))
 
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), one), "")
+        held = F.length(F.regexp_replace(mention, pattern, ""))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), one), ""), F.substring(plain, held + 1, F.length(plain)))
 
     upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
-    named = F.concat(F.regexp_extract(mention, rf"^((?:{_TITLES})\.? )", 1), F.when(_names(mention) == F.upper(_names(mention)), F.upper(surrogate)).otherwise(F.initcap(surrogate)))
     return (
-        F.when(kind.isin("card", "ssn", "phone"), overlay("[^0-9]")).when(kind == "iban", overlay(" ")).when(kind == "person", named)
-        .when((kind == "email") & upper, F.upper(surrogate)).otherwise(surrogate)
+        F.when(kind.isin("card", "ssn"), overlay("[^0-9]", surrogate)).when(kind == "phone", overlay("[^0-9]", F.regexp_replace(surrogate, r"^\+", "")))
+        .when(kind == "iban", overlay(" ", surrogate)).when(kind.isin("email", "ipv6") & upper, F.upper(surrogate)).otherwise(surrogate)
     )
 
 
 def _table(entities: DataFrame, key: str, most_rounds: int) -> DataFrame:
-    """``kind``, ``canonical``, ``surrogate``: distinct for distinct entities of a kind, and never an entity of the corpus itself."""
+    """``kind``, ``canonical``, ``surrogate``: distinct for distinct entities of a kind, and never an entity of the corpus itself.
+
+    Name parts of all kinds count as one kind here. The rows are dealt over the session's number of shuffle partitions, because
+    they are few bytes but much work.
+    """
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    space = F.when(F.col("kind").isin(*NAME_KINDS), "name").otherwise(F.col("kind")).alias("space")
+    entities = entities.select("kind", "canonical").repartition(tasks, "kind", "canonical")
     made = durable(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)))
     for _ in range(most_rounds):
-        real = made.select("kind", F.col("canonical").alias("surrogate"))
-        owner = made.groupBy("kind", "surrogate").agg(F.min("canonical").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        taken = real.join(made.select("kind", "surrogate").distinct(), ["kind", "surrogate"], "left_semi").select("kind", "surrogate", F.lit(None).cast("string").alias("owner"))
-        clash = durable(owner.select("kind", "surrogate", "owner").unionByName(taken).groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("owner").isNotNull(), "owner")).alias("o")))
+        drawn = made.select(space, "canonical", "surrogate")
+        real = drawn.select("space", F.col("canonical").alias("surrogate")).distinct()
+        owner = drawn.groupBy("space", "surrogate").agg(F.min("canonical").alias("owner"), F.max("canonical").alias("last")).filter("owner != last")
+        taken = real.join(drawn.select("space", "surrogate").distinct(), ["space", "surrogate"], "left_semi").select("space", "surrogate", F.lit(None).cast("string").alias("owner"))
+        clash = durable(owner.select("space", "surrogate", "owner").unionByName(taken).groupBy("space", "surrogate").agg(F.min(F.struct(F.col("owner").isNotNull(), "owner")).alias("o")))
         if clash.isEmpty():
             return made
-        joined = made.join(clash, ["kind", "surrogate"], "left")
+        joined = made.withColumn("space", space).join(clash, ["space", "surrogate"], "left")
         again = F.col("o").isNotNull() & (~F.col("o.owner").eqNullSafe(F.col("canonical")))
+        fresh = joined.select("kind", "canonical", (F.col("attempt") + again.cast("int")).alias("attempt"), F.col("surrogate").alias("old"), again.alias("again"))
         made = durable(
-            joined.select("kind", "canonical", "gender", (F.col("attempt") + again.cast("int")).alias("attempt"), F.col("surrogate").alias("old"), again.alias("again"))
+            fresh.repartition(tasks, "kind", "canonical")
             .withColumn("surrogate", F.when(F.col("again"), _surrogate(key)).otherwise(F.col("old"))).drop("old", "again")
         )
     raise RuntimeError(f"surrogates still clash after {most_rounds} rounds")
 
 
+def _pieces(text: Column, cut) -> Column:
+    """``cut`` with the pattern that fits the text: capitalised words count only where a person is named."""
+    return F.when(text.rlike(PATTERNS["person"]), cut(_ANY_OR_WORD)).otherwise(cut(_ANY))
+
+
+def _parts_of_persons(found: DataFrame) -> DataFrame:
+    """``id``, ``digest``, ``position``, ``mention``, ``place``, ``kind``, ``canonical`` of every part of a titled name.
+
+    The gender is that of the titles; else the one told of the same name in the same text, else in the corpus, if only one is; else by
+    the ending of the first name.
+    """
+    persons = found.filter("kind = 'person'").select("id", "digest", "position", "mention", "canonical", "gender").distinct()
+    told = persons.groupBy("canonical").agg(F.min("gender").alias("low"), F.max("gender").alias("high"))
+    here = Window.partitionBy("id", "digest", "canonical")
+    near = F.when(F.min("gender").over(here) == F.max("gender").over(here), F.min("gender").over(here))
+    by_name = F.when(F.element_at(F.split("canonical", "[ \\-]"), 1).rlike("[aая]$"), "f").otherwise("m")
+    known = persons.withColumn("near", near).join(told, "canonical")
+    gender = F.coalesce("gender", "near", F.when(F.col("low") == F.col("high"), F.col("low")), by_name)
+    parts = known.select("id", "digest", "position", "mention", F.posexplode(_name_parts(F.col("canonical"), gender)).alias("place", "part"))
+    return parts.select("id", "digest", "position", "mention", "place", "part.kind", "part.canonical")
+
+
 def mentions(documents: DataFrame, raw_text: str = "raw_text", file_id: str = "fileId") -> DataFrame:
-    """``id``, ``digest``, ``position`` (from 0), ``mention``, ``kind``, ``canonical``, ``gender`` of every entity mentioned."""
+    """``id``, ``digest``, ``position`` (from 0), ``mention``, ``kind``, ``canonical``, ``gender`` of every entity mentioned.
+
+    Texts that name a person give their other capitalised words too (kind ``word``). ``gender`` is what the titles of a person tell.
+    """
     rows = common.records(documents, file_id, raw_text).filter(F.col("text").rlike(_SIGNS))
-    found = rows.select("id", common.digest(F.col("text")).alias("digest"), F.posexplode(F.regexp_extract_all("text", F.lit(_ANY), 0)).alias("position", "mention"))
+    found = rows.select("id", common.digest(F.col("text")).alias("digest"), F.posexplode(_pieces(F.col("text"), lambda pattern: F.regexp_extract_all("text", F.lit(pattern), 0))).alias("position", "mention"))
     kinds = found.withColumn("kind", _kind(F.col("mention")))
     return kinds.withColumns({"canonical": _canonical(F.col("mention"), F.col("kind")), "gender": _gender(F.col("mention"), F.col("kind"))})
 
@@ -202,29 +311,44 @@ def replace_private_data(
 
     Entities are mail and network addresses, phone, card, account and social security numbers, keys and hashes, and persons named
     after a title. A surrogate is a keyed function of the entity, so one entity has one surrogate in all records and spellings
-    (coreference), keeps the separators, length and case of each mention, has a valid checksum if the card number had one, and for
-    names the gender and script. Surrogates of different entities differ, and none is an entity of the corpus: clashes are looked
-    for in the table of all entities and drawn again until there is none. ``count`` names an optional column for the number of
-    mentions replaced.
+    (coreference; IPv6 addresses are told apart as spelled), keeps the separators, length and case of each mention, has valid check
+    digits if the card or account number had, keeps the country of an account or phone number, and for names the gender and script.
+    Surrogates of different entities differ, and none is an entity of the corpus: clashes are looked for in the table of all entities
+    and drawn again, longer where short ones run out, until there is none. ``count`` names an optional column for the number of mentions replaced.
+
+    Names are replaced by their parts: a family name has one surrogate whoever bears it, so Mr. and Mrs. Miller stay a family and their
+    titles tell them apart; a given name has one for women and one for men. In a text that names a person after a title, each other
+    capitalised word that is a part of such a name is replaced too (a word that is several kinds of part: as family name, then as a
+    woman's, then as a man's given name). A person without a title anywhere in the text is not found.
 
     NULL and empty texts stay as they are (count 0). NULL ids and repeated rows are handled like any other row. An empty table gives
     an empty result. Texts without any sign of an entity never leave their partition.
     """
     text, id_ = quoted(raw_text).cast("string"), quoted(file_id)
-    found = mentions(documents, raw_text, file_id)
-    found = durable(found)
-    table = _table(found.groupBy("kind", "canonical").agg(F.min("gender").alias("gender")), key, most_rounds)
-    named = found.join(table.select("kind", "canonical", "surrogate"), ["kind", "canonical"])
-    written = named.select("id", "digest", F.struct("position", _written(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("written")).alias("item"))
+    found = durable(mentions(documents, raw_text, file_id))
+    parts = durable(_parts_of_persons(found))
+    marks = found.filter(~F.col("kind").isin("person", "word"))
+    entities = marks.select("kind", "canonical").unionByName(parts.select("kind", "canonical")).distinct()
+    table = _table(entities, key, most_rounds).select("kind", "canonical", "surrogate")
+    place = ["id", "digest", "position"]
+    drawn = parts.join(table, ["kind", "canonical"])
+    persons = drawn.groupBy(*place).agg(F.min("mention").alias("mention"), F.sort_array(F.collect_set(F.struct("place", "surrogate"))).alias("s"))
+    names = drawn.groupBy(F.col("id").alias("in_id"), F.col("digest").alias("in_digest"), "canonical").agg(F.min(F.struct("kind", "surrogate"))["surrogate"].alias("surrogate"))
+    words = found.filter("kind = 'word'").alias("w").join(
+        names.alias("n"), F.col("id").eqNullSafe(F.col("in_id")) & (F.col("digest") == F.col("in_digest")) & (F.col("w.canonical") == F.col("n.canonical")), "left")
+    written = (
+        marks.join(table, ["kind", "canonical"]).select(*place, _written(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("written"), F.lit(1).alias("hit"))
+        .unionByName(persons.select(*place, _written_name(F.col("mention"), F.col("s.surrogate")).alias("written"), F.lit(1).alias("hit")))
+        .unionByName(words.select(*place, F.coalesce(_cased(F.col("mention"), F.col("surrogate")), "mention").alias("written"), F.col("surrogate").isNotNull().cast("int").alias("hit")))
+    ).select("id", "digest", F.struct("position", "written", "hit").alias("item"))
     # Rows repeated with the same id and text give the same items.
     by_row = written.groupBy("id", "digest").agg(F.sort_array(F.collect_set("item")).alias("__items"))
     by_row = by_row.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "__items")
     signs = F.coalesce(text.rlike(_SIGNS), F.lit(False))
     joined = documents.filter(signs).join(by_row, id_.eqNullSafe(F.col("__id")) & (common.digest(text) == F.col("__digest")), "left")
-    parts = F.split(text, _ANY, -1)
-    pieces = F.zip_with(parts, F.col("__items"), lambda p, x: F.concat(p, F.coalesce(x["written"], F.lit(""))))
+    pieces = F.zip_with(_pieces(text, lambda pattern: F.split(text, pattern, -1)), F.col("__items"), lambda p, x: F.concat(p, F.coalesce(x["written"], F.lit(""))))
     fresh = F.when(F.col("__items").isNull(), text).otherwise(F.array_join(pieces, ""))
-    number = F.coalesce(F.size("__items"), F.lit(0)).cast("bigint")
+    number = F.aggregate("__items", F.lit(0), lambda n, x: n + x["hit"])
     columns = [fresh.alias(c) if c == raw_text else quoted(c) for c in documents.columns]
     touched = joined.select(*columns, *([F.when(F.col("__items").isNull(), 0).otherwise(number).cast("bigint").alias(count)] if count else []))
     clean = documents.filter(~signs).select(*[quoted(c) for c in documents.columns], *([F.lit(0).cast("bigint").alias(count)] if count else []))
